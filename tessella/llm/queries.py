@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import winnow
+from . import merkle, winnow
 from .common import table
 
 
+def op6_fingerprints(spark, sf_dir):
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark, sf_dir):
     return winnow.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_decontamination,)}
+    return {f.__name__: f for f in (op6_fingerprints, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": winnow.REPORT_SQL}
+    return {"op6_fingerprints": merkle.REPORT_SQL, "op10_decontamination": winnow.REPORT_SQL}
