@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import merkle, winnow
+import public_tokenizers
+
+from . import bitpack, merkle, winnow
 from .common import table
 
 
@@ -10,12 +12,18 @@ def op6_fingerprints(spark, sf_dir):
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op9_token_ids(spark, sf_dir):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    return bitpack.report(table(spark, sf_dir, "documents"), model, end_id=2, vocabulary=50_257)
+
+
 def op10_decontamination(spark, sf_dir):
     return winnow.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_fingerprints, op10_decontamination)}
+    return {f.__name__: f for f in (op6_fingerprints, op9_token_ids, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
