@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitpack, merkle, winnow
+from . import bitpack, merkle, minhash, winnow
 from .common import table
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op6_fingerprints(spark, sf_dir):
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
@@ -23,8 +27,8 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_fingerprints, op9_token_ids, op10_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op6_fingerprints, op9_token_ids, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_fingerprints": merkle.REPORT_SQL, "op10_decontamination": winnow.REPORT_SQL}
+    return {"op1_near_duplicates": minhash.REPORT_SQL, "op6_fingerprints": merkle.REPORT_SQL, "op10_decontamination": winnow.REPORT_SQL}
