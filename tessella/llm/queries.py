@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitpack, merkle, minhash, winnow
+from . import bitpack, merkle, minhash, pii, winnow
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op6_fingerprints(spark, sf_dir):
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark, sf_dir):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         model = f.read()
@@ -27,7 +31,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op6_fingerprints, op9_token_ids, op10_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op6_fingerprints, op8_personal_data, op9_token_ids, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
