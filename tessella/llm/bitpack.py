@@ -9,9 +9,9 @@ and unpacks only its bits.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
 
-#: Where a byte-level tokenizer's pattern always cuts: before a lone space between two other characters.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Cached encodings of chunks in a worker; it starts anew when full, which changes no result.
-CACHE = 200_000
-FILE_SCHEMA = "part int, seq int, doc_ids array<long>, counts array<int>, n_ids long, width int, payload binary"
+#: Cached encodings of words in a worker; they start anew when full, which changes no result.
+CACHE = 400_000
+FILE_SCHEMA = "part int, seq int, doc_ids array<long>, counts array<int>, n_ids long, before long, width int, payload binary"
 
 
 def width_of(vocabulary: int) -> int:
@@ -54,10 +52,11 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
 
 
 class CachedEncoder:
-    """A byte-level tokenizer that encodes each distinct chunk once and glues the ids together.
+    """A byte-level tokenizer that encodes each distinct word once and glues the ids together.
 
-    Text is cut where the tokenizer's own pattern cuts at any rate, so the ids are those of the whole.
-    Strings of special tokens are ordinary text.
+    The tokenizer's pattern cuts on both sides of a lone line feed and before a lone space, so for
+    texts whose white space is such, the ids of the words, each with its space, are those of the whole.
+    Other texts are encoded whole. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, model: str):
@@ -65,22 +64,65 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        seen, cut = self.seen, []
-        for text in texts:
-            head, *rest = CUT.split(text)
-            cut.append([head, *[" " + x for x in rest]] if text else [])
-        new = list({x for chunks in cut for x in chunks if x not in seen})
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            new = list({x for chunks in cut for x in chunks})
+        alphabet = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(alphabet.values()) + 1, np.int64)
+        for token, i in alphabet.items():
+            self.sizes[i] = len(token)  # a character of a byte-level vocabulary stands for a byte
+        self.feed = self._ids("\n").tobytes()
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: set[str], into: dict[str, bytes], most: int, lead: str, tail: str) -> None:
+        """Encodes the words that are new, each with its white space, in few texts and cuts the ids by the bytes that each stands for."""
+        new = list(words.difference(into))
+        if len(into) + len(new) > most:
+            into.clear()
+            new = list(words)
+        extra = len(lead) + len(tail)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[x] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([seen[x] for x in chunks]), "<u4") for chunks in cut]
+            text = "".join([lead + w + tail for w in part])
+            ids = self._ids(text[:-1] if tail else text)
+            sizes = [len(w) + extra if w.isascii() else len(w.encode("utf-8", "replace")) + extra for w in part]
+            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes) - len(tail)) + 1
+            raw, at, skip = ids.tobytes(), 0, 4 * len(tail)
+            for w, stop in zip(part, (stops * 4).tolist(), strict=True):
+                into[w] = raw[at:stop]
+                at = stop + skip
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        plain, whole, all_words = [], [], []
+        for n, text in enumerate(texts):
+            feeds, words = text.count("\n"), text.split()
+            gaps = text.count(" ") + feeds
+            if words and gaps == len(words) - 1 and sum(map(len, words)) + gaps == len(text):
+                plain.append((n, [x.split(" ") for x in text.split("\n")] if feeds else [words]))
+                all_words.append(words)
+            elif text:
+                whole.append(n)
+        self._learn(set().union(*all_words), self.spaced, CACHE, " ", "")
+        self._learn({x[0] for _, lines in plain for x in lines}, self.bare, CACHE // 4, "", "\n")
+        out = [np.empty(0, "<u4")] * len(texts)
+        spaced, bare, feed = self.spaced.__getitem__, self.bare, self.feed
+        for n, lines in plain:
+            parts: list[bytes] = []
+            for line in lines:
+                rest = iter(line)
+                parts += (feed, bare[next(rest)])
+                parts.extend(map(spaced, rest))
+            out[n] = np.frombuffer(b"".join(parts[1:]), "<u4")
+        for n in whole:
+            out[n] = self._ids(texts[n])
+        return out
+
+
+@cache
+def _encoder(model: str) -> CachedEncoder:
+    """One for each worker process, whatever the number of its tasks."""
+    return CachedEncoder(model)
 
 
 def packer(model: str, end_id: int, vocabulary: int, block_ids: int = 1 << 18, block_docs: int = 4096):
@@ -90,24 +132,24 @@ def packer(model: str, end_id: int, vocabulary: int, block_ids: int = 1 << 18, b
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, part, seq = CachedEncoder(model), TaskContext.get().partitionId(), 0
-        docs, ids, total = [], [], 0
+        encoder, part, seq = _encoder(model), TaskContext.get().partitionId(), 0
+        docs, ids, total, before = [], [], 0, 0
 
         def block() -> pd.DataFrame:
             counts = [len(x) for x in ids]
-            return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [docs], "counts": [counts], "n_ids": [total], "width": [width], "payload": [pack(np.concatenate(ids), width)]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [docs], "counts": [counts], "n_ids": [total], "before": [before], "width": [width], "payload": [pack(np.concatenate(ids), width)]})
 
         for frame in frames:
             keys = [None if k != k or k is None else int(k) for k in frame["doc_id"].astype(object)]
             texts = frame["text"].tolist()
-            for i in range(0, len(texts), 64):
-                for key, got in zip(keys[i : i + 64], encoder.batch(texts[i : i + 64]), strict=True):
+            for i in range(0, len(texts), 256):
+                for key, got in zip(keys[i : i + 256], encoder.batch(texts[i : i + 256]), strict=True):
                     docs.append(key)
                     ids.append(np.append(got, np.uint32(end_id)))
                     total += len(got) + 1
                     if total >= block_ids or len(docs) >= block_docs:
                         yield block()
-                        docs, ids, total, seq = [], [], 0, seq + 1
+                        docs, ids, before, total, seq = [], [], before + total, 0, seq + 1
         if docs:
             yield block()
 
@@ -123,16 +165,13 @@ def write_ids(docs: DataFrame, scratch: Scratch, model: str, end_id: int, vocabu
 
 
 def with_starts(blocks: DataFrame) -> DataFrame:
-    """Adds `start`: the ids in all blocks before. Parts are summed first, so only a row per part meets the others."""
+    """Adds `start`: the ids in all blocks before. A block knows those of its own part, so only a row per part is summed and sent to all tasks."""
     from pyspark.sql import Window
 
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    heads = blocks.select("part", "seq", "n_ids").join(parts, "part")
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("part", "seq", (F.col("base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("start"))
-    return blocks.join(heads, ["part", "seq"])
+    return blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + F.col("before")).drop("base")
 
 
 def read_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
