@@ -9,6 +9,7 @@ and unpacks only its bits.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
 
-#: Cached encodings of words in a worker; they start anew when full, which changes no result.
-CACHE = 400_000
+#: Encodings of words that a worker keeps; beyond that, new words are encoded for their batch alone.
+CACHE = 500_000
+#: A word of letters and what may stand behind it, each one piece of the tokenizer's pattern.
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 FILE_SCHEMA = "part int, seq int, doc_ids array<long>, counts array<int>, n_ids long, before long, width int, payload binary"
 
 
@@ -51,6 +54,28 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return np.packbits(full, axis=1).reshape(-1, 4).view(">u4").ravel().astype("<u4")
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in set(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class Words(dict):
+    """Kept entries, and those of the present batch when it is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.now = most, {}
+
+    def __missing__(self, word):
+        return self.now[word]
+
+    def room(self, new: int) -> dict:
+        self.now = {}
+        return self if len(self) + new <= self.most else self.now
+
+
 class CachedEncoder:
     """A byte-level tokenizer that encodes each distinct word once and glues the ids together.
 
@@ -69,21 +94,33 @@ class CachedEncoder:
         for token, i in alphabet.items():
             self.sizes[i] = len(token)  # a character of a byte-level vocabulary stands for a byte
         self.feed = self._ids("\n").tobytes()
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.spaced, self.bare = Words(CACHE), Words(CACHE // 4)
+        self.tails: dict[str, bytes] = {"": b""}
+        self.shown = byte_characters()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: set[str], into: dict[str, bytes], most: int, lead: str, tail: str) -> None:
-        """Encodes the words that are new, each with its white space, in few texts and cuts the ids by the bytes that each stands for."""
+    def _learn(self, words: set[str], into: Words, lead: str, tail: str) -> None:
+        """Encodes the new words, each with its white space: simple ones piece by piece, others together, cut by the bytes that each id stands for."""
         new = list(words.difference(into))
-        if len(into) + len(new) > most:
-            into.clear()
-            new = list(words)
+        into, rest = into.room(len(new)), []
+        model, tails, simple, shown = self.tokenizer.model.tokenize, self.tails, _SIMPLE.fullmatch, self.shown
+        sign = shown[32] if lead else ""
+        for w in new:
+            if m := simple(w):
+                core, end = m.groups()
+                core = core if core.isascii() else core.encode().decode("latin-1").translate(shown)
+                if (got := tails.get(end)) is None:
+                    if len(tails) > 10_000:
+                        tails = self.tails = {"": b""}
+                    got = tails[end] = self._ids(end).tobytes()
+                into[w] = b"".join([t.id.to_bytes(4, "little") for t in model(sign + core)]) + got
+            else:
+                rest.append(w)
         extra = len(lead) + len(tail)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        for i in range(0, len(rest), 256):
+            part = rest[i : i + 256]
             text = "".join([lead + w + tail for w in part])
             ids = self._ids(text[:-1] if tail else text)
             sizes = [len(w) + extra if w.isascii() else len(w.encode("utf-8", "replace")) + extra for w in part]
@@ -103,8 +140,8 @@ class CachedEncoder:
                 all_words.append(words)
             elif text:
                 whole.append(n)
-        self._learn(set().union(*all_words), self.spaced, CACHE, " ", "")
-        self._learn({x[0] for _, lines in plain for x in lines}, self.bare, CACHE // 4, "", "\n")
+        self._learn(set().union(*all_words), self.spaced, " ", "")
+        self._learn({x[0] for _, lines in plain for x in lines}, self.bare, "", "\n")
         out = [np.empty(0, "<u4")] * len(texts)
         spaced, bare, feed = self.spaced.__getitem__, self.bare, self.feed
         for n, lines in plain:
