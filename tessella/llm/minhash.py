@@ -4,8 +4,9 @@ Two permutations of the 32-bit numbers make every coordinate: the first scatters
 shingles, the second is applied after a circular shift by the coordinate's number, and the least
 value is the coordinate. Documents that agree in all coordinates of a band share a bucket. Pairs of a
 bucket are confirmed on the full sets. A bucket is never expanded into all its pairs: each member is
-compared with one pivot, then with the member that has the most links so far, and only members that
-are still in different components after that are compared with each other.
+compared with one pivot, then with the member that has the most links so far, then with some of the
+bucket's largest component, and only members that are still in different components after that are
+compared with each other.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import Scratch
 from .components import components
 
 BANDS, ROWS = 40, 6
+#: Members of a bucket's largest component that each of its other members meets in the third round.
+PIVOTS = 3
 #: Shifts and shingles that are handled at once, so that the arrays stay in cache.
 _SHIFTS, _SHINGLES = 48, 1024
 
@@ -134,8 +137,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         return m.join(mixed, "bucket")
 
+    def apart(comp: DataFrame, more: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """The components with more edges, and the members that still meet other components in a bucket."""
+        comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, f"cc{turn}_")
+        return comp, scratch.write(split(comp), f"left{turn}")
+
     edges = confirmed(member.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "edges1")
-    comp = components(edges, scratch, "cc1")
+    comp = components(edges, scratch, "cc1_")
     left = scratch.write(split(comp), "left1")
     if left.head(1):
         ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
@@ -144,14 +152,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         at = left.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")).distinct()
         star = star.join(at, "hub").where("component != hub_component").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         more = confirmed(star, "edges2")
-        edges = edges.unionByName(more)
-        comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "cc2")
-        left = scratch.write(split(comp), "left2")
-        x, y = (left.select("bucket", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("pivot").alias(f"p{n}")) for n in "ab")
-        # Pairs with the pivot were compared in the first round.
-        rest = x.join(y, "bucket").where("a < b AND ca != cb AND a != pa").select("a", "b").distinct()
-        more = confirmed(rest, "edges3")
-        comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "cc3")
+        comp, left = apart(comp, more, 2)
+        if left.head(1):
+            # Each member outside its bucket's largest component meets PIVOTS members of that one, others in each bucket.
+            count = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("major")).select("bucket", "major.component")
+            picks = left.join(count, ["bucket", "component"]).groupBy("bucket").agg(*[F.min_by("id", F.xxhash64("id", "bucket", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
+            rest = left.join(count.withColumnRenamed("component", "major"), "bucket").where("component != major").select("bucket", "id")
+            star = rest.join(picks, "bucket").select("id", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
+            comp, left = apart(comp, confirmed(star.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "edges3"), 3)
+        if left.head(1):
+            x, y = (left.select("bucket", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("pivot").alias(f"p{n}")) for n in "ab")
+            # Pairs with the pivot were compared in the first round.
+            rest = x.join(y, "bucket").where("a < b AND ca != cb AND a != pa").select("a", "b").distinct()
+            comp, _ = apart(comp, confirmed(rest, "edges4"), 4)
     found = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
