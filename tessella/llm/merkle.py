@@ -63,19 +63,19 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return with_fingerprint(docs, "text", "fingerprint", "_leaves").drop("_leaves")
 
 
-def _nexts(ids: DataFrame) -> DataFrame:
-    """(bucket, first, before): the first id of every bucket and the bucket that comes before, for the first one the last.
+def _guests(d: DataFrame) -> DataFrame:
+    """The first row (doc_id, text) of every bucket, as `bucket` the one before, for the first one the last.
 
-    Windows run within groups of 4096 buckets; only the groups' own ends meet in one task, a row for
-    some million ids.
+    Partial minima leave a row per bucket and task before anything is shuffled. Windows run within
+    groups of 4096 buckets; only the groups' own ends meet in one task, a row for some million ids.
     """
     from pyspark.sql import Window
 
-    first = ids.groupBy("bucket").agg(F.min("doc_id").alias("first")).withColumn("group", F.shiftright("bucket", GROUP_BITS))
+    first = d.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("g")).withColumn("group", F.shiftright("bucket", GROUP_BITS))
     ends = first.groupBy("group").agg(F.max("bucket").alias("last"))
     ends = ends.select("group", F.coalesce(F.lag("last").over(Window.orderBy("group")), F.max("last").over(Window.partitionBy())).alias("end_before"))
     first = first.withColumn("within", F.lag("bucket").over(Window.partitionBy("group").orderBy("bucket")))
-    return first.join(ends, "group").select("bucket", "first", F.coalesce("within", "end_before").alias("before"))
+    return first.join(ends, "group").select("g.doc_id", "g.text", F.coalesce("within", "end_before").alias("bucket"))
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -90,11 +90,8 @@ def edit_report(docs: DataFrame) -> DataFrame:
     none = 1 << 60  # above every bucket of an id
     d = docs.select("doc_id", text_or_empty("text").alias("text"))
     d = d.withColumn("bucket", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BUCKET_BITS), F.lit(none)))
-    chain = _nexts(d.select("doc_id", "bucket"))
-    start = d.join(chain, "bucket").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    # A bucket's first row is also a guest at the end of the bucket before; of equal ids the least text.
-    guests = start.groupBy("before").agg(F.min(F.struct("doc_id", "text")).alias("g"))
-    rows = d.withColumn("guest", F.lit(False)).unionByName(guests.select(F.col("g.doc_id").alias("doc_id"), F.col("g.text").alias("text"), F.col("before").alias("bucket"), F.lit(True).alias("guest")))
+    # A bucket's first row is also a guest at the end of the bucket before.
+    rows = d.withColumn("guest", F.lit(False)).unionByName(_guests(d).withColumn("guest", F.lit(True)))
     rows = with_fingerprint(rows.repartition("bucket"), "text", "fingerprint", "leaves")
     w = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
     rows = rows.withColumn("next", F.lead(F.struct("text", "fingerprint", "leaves")).over(w)).where(~F.col("guest"))
