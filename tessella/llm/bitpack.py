@@ -62,18 +62,17 @@ def byte_characters() -> dict[int, str]:
 
 
 class Words(dict):
-    """Kept entries, and those of the present batch when it is full."""
+    """Encodings of words behind the same white space; what isn't kept yet is encoded when it is asked for."""
 
-    def __init__(self, most: int):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.most, self.now = most, {}
+        self.encode, self.most = encode, most
 
-    def __missing__(self, word):
-        return self.now[word]
-
-    def room(self, new: int) -> dict:
-        self.now = {}
-        return self if len(self) + new <= self.most else self.now
+    def __missing__(self, word: str) -> bytes:
+        got = self.encode(word)
+        if len(self) < self.most:
+            self[word] = got
+        return got
 
 
 class CachedEncoder:
@@ -89,71 +88,38 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        alphabet = self.tokenizer.get_vocab()
-        self.sizes = np.zeros(max(alphabet.values()) + 1, np.int64)
-        for token, i in alphabet.items():
-            self.sizes[i] = len(token)  # a character of a byte-level vocabulary stands for a byte
         self.feed = self._ids("\n").tobytes()
-        self.spaced, self.bare = Words(CACHE), Words(CACHE // 4)
-        self.tails: dict[str, bytes] = {"": b""}
+        self.spaced = Words(lambda w: self._word(w, " "), CACHE)
+        self.bare = Words(lambda w: self._word(w, ""), CACHE // 4)
+        self.tails = Words(lambda w: self._ids(w).tobytes(), 10_000)
+        self.tails[""] = b""
         self.shown = byte_characters()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: set[str], into: Words, lead: str, tail: str) -> None:
-        """Encodes the new words, each with its white space: simple ones piece by piece, others together, cut by the bytes that each id stands for."""
-        new = list(words.difference(into))
-        into, rest = into.room(len(new)), []
-        model, tails, simple, shown = self.tokenizer.model.tokenize, self.tails, _SIMPLE.fullmatch, self.shown
-        sign = shown[32] if lead else ""
-        for w in new:
-            if m := simple(w):
-                core, end = m.groups()
-                core = core if core.isascii() else core.encode().decode("latin-1").translate(shown)
-                if (got := tails.get(end)) is None:
-                    if len(tails) > 10_000:
-                        tails = self.tails = {"": b""}
-                    got = tails[end] = self._ids(end).tobytes()
-                into[w] = b"".join([t.id.to_bytes(4, "little") for t in model(sign + core)]) + got
-            else:
-                rest.append(w)
-        extra = len(lead) + len(tail)
-        for i in range(0, len(rest), 256):
-            part = rest[i : i + 256]
-            text = "".join([lead + w + tail for w in part])
-            ids = self._ids(text[:-1] if tail else text)
-            sizes = [len(w) + extra if w.isascii() else len(w.encode("utf-8", "replace")) + extra for w in part]
-            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes) - len(tail)) + 1
-            raw, at, skip = ids.tobytes(), 0, 4 * len(tail)
-            for w, stop in zip(part, (stops * 4).tolist(), strict=True):
-                into[w] = raw[at:stop]
-                at = stop + skip
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        plain, whole, all_words = [], [], []
-        for n, text in enumerate(texts):
-            feeds, words = text.count("\n"), text.split()
-            gaps = text.count(" ") + feeds
-            if words and gaps == len(words) - 1 and sum(map(len, words)) + gaps == len(text):
-                plain.append((n, [x.split(" ") for x in text.split("\n")] if feeds else [words]))
-                all_words.append(words)
-            elif text:
-                whole.append(n)
-        self._learn(set().union(*all_words), self.spaced, " ", "")
-        self._learn({x[0] for _, lines in plain for x in lines}, self.bare, "", "\n")
-        out = [np.empty(0, "<u4")] * len(texts)
-        spaced, bare, feed = self.spaced.__getitem__, self.bare, self.feed
-        for n, lines in plain:
-            parts: list[bytes] = []
-            for line in lines:
-                rest = iter(line)
-                parts += (feed, bare[next(rest)])
-                parts.extend(map(spaced, rest))
-            out[n] = np.frombuffer(b"".join(parts[1:]), "<u4")
-        for n in whole:
-            out[n] = self._ids(texts[n])
-        return out
+    def _word(self, word: str, lead: str) -> bytes:
+        """The ids of a word behind `lead`; letters are one piece of the pattern and go straight to the model."""
+        if not (m := _SIMPLE.fullmatch(word)):
+            return self._ids(lead + word).tobytes()
+        core, end = m.groups()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.shown)
+        got = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(self.shown[32] + core if lead else core)])
+        return got + self.tails[end] if end else got
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        feeds, words = text.count("\n"), text.split()
+        gaps = text.count(" ") + feeds
+        if not words or gaps != len(words) - 1 or sum(map(len, words)) + gaps != len(text):
+            return self._ids(text).tobytes() if text else b""
+        spaced, bare, feed, parts = self.spaced.__getitem__, self.bare, self.feed, []
+        for line in text.split("\n") if feeds else [text]:
+            rest = iter(line.split(" ") if feeds else words)
+            parts += (feed, bare[next(rest)])
+            parts.extend(map(spaced, rest))
+        return b"".join(parts[1:])
 
 
 @cache
@@ -170,23 +136,23 @@ def packer(model: str, end_id: int, vocabulary: int, block_ids: int = 1 << 18, b
         from pyspark import TaskContext
 
         encoder, part, seq = _encoder(model), TaskContext.get().partitionId(), 0
-        docs, ids, total, before = [], [], 0, 0
+        docs, ids, counts, total, before, end = [], [], [], 0, 0, end_id.to_bytes(4, "little")
 
         def block() -> pd.DataFrame:
-            counts = [len(x) for x in ids]
-            return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [docs], "counts": [counts], "n_ids": [total], "before": [before], "width": [width], "payload": [pack(np.concatenate(ids), width)]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [docs], "counts": [counts], "n_ids": [total], "before": [before], "width": [width], "payload": [pack(np.frombuffer(b"".join(ids), "<u4"), width)]})
 
         for frame in frames:
             keys = [None if k != k or k is None else int(k) for k in frame["doc_id"].astype(object)]
             texts = frame["text"].tolist()
-            for i in range(0, len(texts), 256):
-                for key, got in zip(keys[i : i + 256], encoder.batch(texts[i : i + 256]), strict=True):
-                    docs.append(key)
-                    ids.append(np.append(got, np.uint32(end_id)))
-                    total += len(got) + 1
-                    if total >= block_ids or len(docs) >= block_docs:
-                        yield block()
-                        docs, ids, before, total, seq = [], [], before + total, 0, seq + 1
+            for key, text in zip(keys, texts, strict=True):
+                got = encoder.encode(text)
+                docs.append(key)
+                ids += (got, end)
+                counts.append(len(got) // 4 + 1)
+                total += counts[-1]
+                if total >= block_ids or len(docs) >= block_docs:
+                    yield block()
+                    docs, ids, counts, before, total, seq = [], [], [], before + total, 0, seq + 1
         if docs:
             yield block()
 
