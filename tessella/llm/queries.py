@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitpack, bpe, merkle, minhash, pii, quality, suffix_tree, winnow
+from . import bitpack, bpe, merkle, minhash, pii, quality, suffix_tree, toxicity, winnow
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_fingerprints(spark, sf_dir):
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_personal_data(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_quality, op4_byte_bpe, op5_suffix_tree_scores, op6_fingerprints, op8_personal_data, op9_token_ids, op10_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_quality, op4_byte_bpe, op5_suffix_tree_scores, op6_fingerprints, op7_toxicity, op8_personal_data, op9_token_ids, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
