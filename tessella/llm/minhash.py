@@ -4,9 +4,9 @@ Two permutations of the 32-bit numbers make every coordinate: the first scatters
 shingles, the second is applied after a circular shift by the coordinate's number, and the least
 value is the coordinate. Documents that agree in all coordinates of a band share a bucket. Pairs of a
 bucket are confirmed on the full sets. A bucket is never expanded into all its pairs: each member is
-compared with one pivot, then with the member that has the most links so far, then with some of the
-bucket's largest component, and only members that are still in different components after that are
-compared with each other.
+compared with one pivot, then with the member that has the most links so far. Members that are still
+outside their bucket's largest component are held against that component and each other in blocks:
+a pair of blocks is one row, its intersections one matrix product, and only links come out.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import Scratch
 from .components import components
 
 BANDS, ROWS = 40, 6
-#: Members of a bucket's largest component that each of its other members meets in the third round.
-PIVOTS = 3
+#: Documents to a block of the last round, and shingles that are multiplied at once.
+BLOCK, COLUMNS = 128, 8192
 #: Shifts and shingles that are handled at once, so that the arrays stay in cache.
 _SHIFTS, _SHINGLES = 48, 1024
 
@@ -99,6 +99,55 @@ def _sets(words: int):
     return run
 
 
+def _block_links(percent: int):
+    """Rows of two blocks of sets to the links (u, v) between different components."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                na, nb = np.asarray(r.na, np.int64), np.asarray(r.nb, np.int64)
+                x, y = np.asarray(r.sa, np.int64), np.asarray(r.sb, np.int64)
+                common = np.intersect1d(x, y)
+                both = np.zeros((len(na), len(nb)), np.float32)
+                ends = [(np.repeat(np.arange(len(n)), n), z, np.searchsorted(common, z)) for n, z in ((na, x), (nb, y))]
+                ends = [(o[ok], c[ok]) for o, z, c in ends for ok in [common[np.minimum(c, len(common) - 1)] == z if len(common) else np.zeros(len(z), bool)]]
+                for at in range(0, len(common), COLUMNS):
+                    m = []
+                    for (owner, column), n in zip(ends, (na, nb), strict=True):
+                        ok = (column >= at) & (column < at + COLUMNS)
+                        part = np.zeros((len(n), min(COLUMNS, len(common) - at)), np.float32)
+                        part[owner[ok], column[ok] - at] = 1
+                        m.append(part)
+                    both += m[0] @ m[1].T
+                i = both.astype(np.int64)
+                linked = (100 * i >= percent * (na[:, None] + nb[None] - i)) & (np.asarray(r.ca)[:, None] != np.asarray(r.cb)[None])
+                u, v = np.nonzero(linked)
+                yield pd.DataFrame({"u": np.asarray(r.ia)[u], "v": np.asarray(r.ib)[v]})
+
+    return run
+
+
+def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members of mixed buckets that are in different components.
+
+    A group is the largest component of a bucket with the other members of all such buckets. Only
+    those others are queries; they are held against the whole group, in blocks of about BLOCK.
+    """
+    major = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("group"))
+    g = left.join(major, "bucket").select("group", "id", "component").distinct()
+    g = g.withColumn("query", F.col("component") != F.col("group"))
+    count = g.groupBy("group").agg(F.count("*").alias("n"), F.count_if(F.col("query")).alias("q"))
+    g = g.join(count, "group").join(sets, "id")
+
+    def blocks(rows: DataFrame, n: str, tag: str) -> DataFrame:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)))
+        rows = rows.groupBy("group", "block").agg(F.collect_list(F.struct("id", "component", "s")).alias("x"))
+        return rows.select("group", F.col("x.id").alias(f"i{tag}"), F.col("x.component").alias(f"c{tag}"), F.transform("x.s", F.size).alias(f"n{tag}"), F.flatten("x.s").alias(f"s{tag}"))
+
+    pairs = blocks(g.where("query"), "q", "a").join(blocks(g, "n", "b"), "group").drop("group")
+    return pairs.mapInPandas(_block_links(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -154,17 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         more = confirmed(star, "edges2")
         comp, left = apart(comp, more, 2)
         if left.head(1):
-            # Each member outside its bucket's largest component meets PIVOTS members of that one, others in each bucket.
-            count = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("major")).select("bucket", "major.component")
-            picks = left.join(count, ["bucket", "component"]).groupBy("bucket").agg(*[F.min_by("id", F.xxhash64("id", "bucket", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-            rest = left.join(count.withColumnRenamed("component", "major"), "bucket").where("component != major").select("bucket", "id")
-            star = rest.join(picks, "bucket").select("id", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
-            comp, left = apart(comp, confirmed(star.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "edges3"), 3)
-        if left.head(1):
-            x, y = (left.select("bucket", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("pivot").alias(f"p{n}")) for n in "ab")
-            # Pairs with the pivot were compared in the first round.
-            rest = x.join(y, "bucket").where("a < b AND ca != cb AND a != pa").select("a", "b").distinct()
-            comp, _ = apart(comp, confirmed(rest, "edges4"), 4)
+            comp, _ = apart(comp, scratch.write(_rest(left, sets, percent), "edges3"), 3)
     found = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
