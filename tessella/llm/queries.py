@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bitpack, bpe, merkle, minhash, pii, quality, suffix_tree, toxicity, winnow
+from . import bitpack, bpe, chat, merkle, minhash, pii, quality, suffix_tree, toxicity, winnow
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_chat_format(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = bpe.parse_ranks(f.read())
@@ -49,7 +53,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_quality, op4_byte_bpe, op5_suffix_tree_scores, op6_fingerprints, op7_toxicity, op8_personal_data, op9_token_ids, op10_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_quality, op3_chat_format, op4_byte_bpe, op5_suffix_tree_scores, op6_fingerprints, op7_toxicity, op8_personal_data, op9_token_ids, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
