@@ -10,7 +10,7 @@ teaches by its toxic passage and a clean one by its most suspicious.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import id_crc_mod, text_or_empty
 
 #: At most so many documents of each label are fitted, and so many windows of each, spread over its text.
-MOST_TOXIC, MOST_CLEAN, MOST_WINDOWS = 1500, 3000, 48
+MOST_TOXIC, MOST_CLEAN, MOST_WINDOWS = 1200, 2400, 32
 WINDOW, STRIDE = 24, 16
 STATE, WIDTH, TABLE = 8, 6, 1 << 15
 ROUNDS, RATE, SEED = 8, 0.01, 11
@@ -153,7 +153,7 @@ def windows_of(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
-def train(docs: list[list[list[str]]], labels: list[float]) -> Network:
+def train(docs: Iterable[list[list[str]]], labels: list[float]) -> Network:
     """The network of documents given as windows of words. With one label alone, its share is every score."""
     net = Network()
     y = np.array(labels, np.float32)
@@ -177,16 +177,20 @@ def train(docs: list[list[list[str]]], labels: list[float]) -> Network:
     doc_word = np.unique(np.stack([owner.repeat(WINDOW), ids.ravel()], axis=1)[ids.ravel() > 0], axis=0)
     pos, neg = y.sum(), len(y) - y.sum()
     starts = np.r_[first, len(b)]
-    for name, codes_of in (("word", a), ("char", None)):
-        if codes_of is not None:
-            pairs = doc_word[:, 0] * TABLE + a[doc_word[:, 1] - 1]
-        else:
-            reps = sizes[doc_word[:, 1] - 1]
-            at = np.repeat(starts[doc_word[:, 1] - 1] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-            pairs = np.repeat(doc_word[:, 0], reps) * TABLE + b[at]
-        pairs = np.unique(pairs)
-        t = np.bincount(pairs % TABLE, y[pairs // TABLE], TABLE)
-        c = np.bincount(pairs % TABLE, 1 - y[pairs // TABLE], TABLE)
+    cuts = np.searchsorted(doc_word[:, 0], np.arange(0, len(y) + 128, 128))
+    for name in ("word", "char"):
+        t, c = np.zeros(TABLE), np.zeros(TABLE)
+        for lo, hi in zip(cuts, cuts[1:], strict=False):  # some documents at a time, as n-grams are many
+            doc, word = doc_word[lo:hi, 0], doc_word[lo:hi, 1] - 1
+            if name == "word":
+                pairs = doc * TABLE + a[word]
+            else:
+                reps = sizes[word]
+                at = np.repeat(starts[word] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum()) if len(word) else np.empty(0, int)
+                pairs = np.repeat(doc, reps) * TABLE + b[at]
+            pairs = np.unique(pairs)
+            t += np.bincount(pairs % TABLE, y[pairs // TABLE], TABLE)
+            c += np.bincount(pairs % TABLE, 1 - y[pairs // TABLE], TABLE)
         odds = np.log((t + 0.5) / (pos + 1)) - np.log((c + 0.5 * neg / pos) / (neg + neg / pos))
         net.p[name][:, 0] += (np.clip(odds, -3, 3) * np.minimum(1, (t + c) / 8)).astype(np.float32)
     rng, moments, step = np.random.default_rng(SEED), {}, 0
@@ -319,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2) ->
 
     d = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     got = d.mapInPandas(cut, "doc_id long, y double, windows string").toPandas().sort_values(["doc_id", "windows"], kind="stable")
-    return train([[w.split(" ") if w else [] for w in t.split("\n")] for t in got["windows"]], got["y"].tolist())
+    return train(([w.split(" ") if w else [] for w in t.split("\n")] for t in got["windows"]), got["y"].tolist())
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
