@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Buckets of the rank map and of the word map: primes, so that pairs spread.
-PAIR_BUCKETS, WORD_BUCKETS = 32_749, 65_537
+PAIR_BUCKETS, WORD_BUCKETS = 32_749, 262_139
 #: Distinct words that the word map holds, the most frequent ones, each of at most WORD_BYTES.
-WORDS, WORD_BYTES = 250_000, 48
+WORDS, WORD_BYTES = 600_000, 48
 #: Longer words are folded with all pairs of the least rank merged in one step.
 LONG = 1024
-NONE = 0x7FFFFFFF
+#: The rank of a pair that isn't in the map, above all others, and the bit from which ranks are packed.
+NONE, RANK_BIT = 0xFFFF, 42
 
 
 def parse_ranks(text: bytes) -> dict[bytes, int]:
@@ -32,14 +33,38 @@ def parse_ranks(text: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, text.splitlines()) if token}
 
 
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(WORD_BUCKETS))
+
+
 def _bind(value: Column, body) -> Column:
     """body of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _constant(value, kind: str) -> Column:
-    """A literal of arrays and maps, parsed once when the plan is made; JSON has text keys, so those of maps are cast."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind.replace("map<bigint", "map<string")).cast(kind)
+    """A literal of arrays and maps; JSON has text keys, so those of maps are cast."""
+    row = _session().createDataFrame([(json.dumps(value, ensure_ascii=False),)], "j string")
+    return _literal(row.select(F.from_json("j", kind.replace("map<bigint", "map<string")).cast(kind)))
+
+
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession()
+
+
+def _literal(row: DataFrame) -> Column:
+    """The one value of a one-row frame as a literal, in Spark's own binary layout.
+
+    Laid out so, it is copied to tasks as bytes; a literal that the parser makes is sent as an
+    object for each entry, which takes a task seconds.
+    """
+    jvm = row.sparkSession._jvm
+    value = row._jdf.queryExecution().executedPlan().executeCollect()[0]
+    kind = row._jdf.schema().apply(0).dataType()
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value.get(0, kind), kind)
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 class Fold:
@@ -56,20 +81,34 @@ class Fold:
         return F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))), lambda x, i: self._rank(x, F.get(ids, i + 1)))
 
     def _merge_first(self, word: Column) -> Column:
-        """One merge a step: of the leftmost pair of the least rank, whose neighbours' ranks are then looked up."""
+        """One merge a step: of the leftmost pair of the least rank, whose neighbours' ranks are then looked up.
 
-        def step(a, _):
+        An element packs the rank of a part with the part behind it, its place and its id, so that
+        the least element is the pair to merge.
+        """
+        part = lambda rank, rest: F.shiftleft(rank.cast("long"), RANK_BIT).bitwiseOR(rest)
+        id_of = lambda e: e.bitwiseAND(F.lit(0xFFFF))
+        rest_of = lambda e: e.bitwiseAND(F.lit((1 << RANK_BIT) - 1))
+
+        def step(v, _):
             def merged(m, i):
-                ids, ranks = a["ids"], a["ranks"]
-                left = F.when(i > 1, F.array(self._rank(F.get(ids, i - 2), m))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i + 1 < F.size(ids), F.array(self._rank(m, F.get(ids, i + 1)))).otherwise(F.array().cast("array<int>"))
-                rest = F.size(ids)
-                return F.struct(F.concat(F.slice(ids, F.lit(1), i - 1), F.array(m), F.slice(ids, i + 2, rest)).alias("ids"), F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, rest)).alias("ranks"))
+                new = F.shiftrightunsigned(m, RANK_BIT)
+                place = rest_of(m).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(new)
+                right = F.when(i + 1 < F.size(v), self._rank(new, id_of(F.get(v, i + 1)))).otherwise(F.lit(NONE))
+                # The part before gets the rank of itself with the merged one.
+                left = F.when(i < 2, F.array().cast("array<bigint>")).otherwise(_bind(F.get(v, i - 2), lambda e: F.array(part(self._rank(id_of(e), new), rest_of(e)))))
+                return F.concat(F.slice(v, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(part(right, place)), F.slice(v, i + 2, F.size(v)))
+
+            return _bind(F.array_min(v), lambda m: F.when(F.shiftrightunsigned(m, RANK_BIT) == NONE, v).otherwise(_bind(F.array_position(v, m).cast("int"), lambda i: merged(m, i))))
+
+        def parts(ids):
+            rank = lambda x, i: F.when(i + 1 < F.size(ids), self._rank(x, F.get(ids, i + 1))).otherwise(F.lit(NONE))
+            return F.transform(ids, lambda x, i: part(rank(x, i), F.shiftleft(i.cast("long"), 16).bitwiseOR(x)))
 
-            return _bind(F.coalesce(F.array_min(a["ranks"]), F.lit(NONE)), lambda m: F.when(m == NONE, a).otherwise(_bind(F.array_position(a["ranks"], m).cast("int"), lambda i: merged(m, i))))
+        def fold(ids):
+            return F.aggregate(F.sequence(F.lit(2), F.size(ids)), parts(ids), step, lambda v: F.transform(v, lambda e: id_of(e).cast("int")))
 
-        start = lambda ids: F.struct(ids.alias("ids"), self._ranks(ids).alias("ranks"))
-        return _bind(self._byte_ids(word), lambda ids: F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start(ids), step, lambda a: a["ids"])))
+        return _bind(self._byte_ids(word), lambda ids: F.when(F.size(ids) < 2, ids).otherwise(fold(ids)))
 
     def _merge_all(self, word: Column) -> Column:
         """All pairs of the least rank a step, from left to right: ids are characters of a string, a merge replaces two by one."""
@@ -135,8 +174,7 @@ class Codec:
             fold = Fold(pairs, bytes_)
             if known is None:
                 return F.transform(words, fold.ids)
-            bucket = lambda w: (F.crc32(w.cast("binary")) % WORD_BUCKETS).cast("int")
-            return F.transform(words, lambda w: F.coalesce(F.get(known, bucket(w))[w], fold.ids(w)))
+            return F.transform(words, lambda w: F.coalesce(F.get(known, _bucket(w))[w], fold.ids(w)))
 
         held = lambda p, b: each(p, b, None) if known is None else _bind(known, lambda k: each(p, b, k))
         return _bind(self.pairs, lambda p: _bind(self.bytes_, lambda b: held(p, b)))
@@ -145,10 +183,12 @@ class Codec:
         """The most frequent words with their ids, each folded once: a map whose size WORDS and WORD_BYTES bound."""
         words = docs.select(F.explode(self.words(text)).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
         top = words.orderBy(F.desc("count"), "w").limit(WORDS).repartition(F.col("w")).select("w", F.get(self.fold(F.array("w")), F.lit(0)).alias("ids"))
-        maps: list[dict[str, list[int]]] = [{} for _ in range(WORD_BUCKETS)]
-        for w, ids in top.toLocalIterator():
-            maps[_crc(w) % WORD_BUCKETS][w] = ids
-        return _constant(maps, "array<map<string,array<int>>>")
+        # One row of at most WORDS entries: a map for every bucket, in order.
+        maps = top.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))
+        every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
+        empty = F.from_json(F.lit("{}"), "map<string,array<int>>")
+        all_ = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.struct(F.map_entries(F.coalesce("m", empty)).alias("e")).alias("s")))), lambda x: F.map_from_entries(x["s"]["e"])).alias("m"))
+        return _literal(all_)
 
     def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
         """Adds the ids of the texts' words; a null text counts as empty, an empty one has none."""
@@ -166,12 +206,6 @@ class Codec:
         return F.unhex(F.array_join(_bind(self.little, lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))
 
 
-def _crc(word: str) -> int:
-    import zlib
-
-    return zlib.crc32(word.encode())
-
-
 def report(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per row of docs (doc_id, text): the number and digest of its ids, and the digest of their decoded bytes."""
     codec = Codec.of(ranks, pattern)
