@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Buckets of the rank map and of the word map: primes, so that pairs spread.
-PAIR_BUCKETS, WORD_BUCKETS = 32_749, 262_139
+PAIR_BUCKETS, WORD_BUCKETS = 65_521, 393_209
 #: Distinct words that the word map holds, the most frequent ones, each of at most WORD_BYTES.
-WORDS, WORD_BYTES = 600_000, 48
+WORDS, WORD_BYTES = 1_000_000, 48
 #: Longer words are folded with all pairs of the least rank merged in one step.
 LONG = 1024
 #: The rank of a pair that isn't in the map, above all others, and the bit from which ranks are packed.
@@ -74,39 +74,33 @@ class Fold:
         self.pairs, self.bytes_ = pairs, bytes_
 
     def _rank(self, a: Column, b: Column) -> Column:
-        key = F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long"))
-        return _bind(key, lambda k: F.coalesce(F.get(self.pairs, (k % PAIR_BUCKETS).cast("int"))[k], F.lit(NONE)))
+        """The rank of two packed parts' pair, in the place where parts hold it."""
+        key = F.shiftleft(a.bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(b.bitwiseAND(F.lit(0xFFFF)))
+        return F.coalesce(F.get(self.pairs, (key % PAIR_BUCKETS).cast("int"))[key], F.lit(NONE << RANK_BIT))
 
-    def _ranks(self, ids: Column) -> Column:
-        return F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))), lambda x, i: self._rank(x, F.get(ids, i + 1)))
+    def _parts(self, ids: Column) -> Column:
+        """Packed parts: the rank of a part with the one behind it, its place and its id, so that the least one is the pair to merge."""
+        rest = F.transform(ids, lambda x, i: F.shiftleft(i.cast("long"), 16).bitwiseOR(x.cast("long")))
+        none = F.lit(NONE << RANK_BIT)
+        return _bind(rest, lambda v: F.transform(v, lambda e, i: e.bitwiseOR(F.when(i + 1 < F.size(v), self._rank(e, F.get(v, i + 1))).otherwise(none))))
 
     def _merge_first(self, word: Column) -> Column:
-        """One merge a step: of the leftmost pair of the least rank, whose neighbours' ranks are then looked up.
-
-        An element packs the rank of a part with the part behind it, its place and its id, so that
-        the least element is the pair to merge.
-        """
-        part = lambda rank, rest: F.shiftleft(rank.cast("long"), RANK_BIT).bitwiseOR(rest)
-        id_of = lambda e: e.bitwiseAND(F.lit(0xFFFF))
+        """One merge a step: of the leftmost pair of the least rank, whose neighbours' ranks are then looked up."""
         rest_of = lambda e: e.bitwiseAND(F.lit((1 << RANK_BIT) - 1))
 
         def step(v, _):
             def merged(m, i):
-                new = F.shiftrightunsigned(m, RANK_BIT)
-                place = rest_of(m).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(new)
-                right = F.when(i + 1 < F.size(v), self._rank(new, id_of(F.get(v, i + 1)))).otherwise(F.lit(NONE))
-                # The part before gets the rank of itself with the merged one.
-                left = F.when(i < 2, F.array().cast("array<bigint>")).otherwise(_bind(F.get(v, i - 2), lambda e: F.array(part(self._rank(id_of(e), new), rest_of(e)))))
-                return F.concat(F.slice(v, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(part(right, place)), F.slice(v, i + 2, F.size(v)))
-
-            return _bind(F.array_min(v), lambda m: F.when(F.shiftrightunsigned(m, RANK_BIT) == NONE, v).otherwise(_bind(F.array_position(v, m).cast("int"), lambda i: merged(m, i))))
+                # The merged part has the pair's rank as its id and the place of its first half.
+                new = F.shiftrightunsigned(m, RANK_BIT).bitwiseOR(rest_of(m).bitwiseAND(F.lit(~0xFFFF)))
+                right = F.when(i + 1 < F.size(v), self._rank(new, F.get(v, i + 1))).otherwise(F.lit(NONE << RANK_BIT))
+                before = F.get(v, i - 2)
+                left = F.when(i < 2, F.array().cast("array<bigint>")).otherwise(F.array(rest_of(before).bitwiseOR(self._rank(before, new))))
+                return F.concat(F.slice(v, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(new.bitwiseOR(right)), F.slice(v, i + 2, F.size(v)))
 
-        def parts(ids):
-            rank = lambda x, i: F.when(i + 1 < F.size(ids), self._rank(x, F.get(ids, i + 1))).otherwise(F.lit(NONE))
-            return F.transform(ids, lambda x, i: part(rank(x, i), F.shiftleft(i.cast("long"), 16).bitwiseOR(x)))
+            return _bind(F.array_min(v), lambda m: F.when(m >= NONE << RANK_BIT, v).otherwise(_bind(F.array_position(v, m).cast("int"), lambda i: merged(m, i))))
 
         def fold(ids):
-            return F.aggregate(F.sequence(F.lit(2), F.size(ids)), parts(ids), step, lambda v: F.transform(v, lambda e: id_of(e).cast("int")))
+            return F.aggregate(F.sequence(F.lit(2), F.size(ids)), self._parts(ids), step, lambda v: F.transform(v, lambda e: e.bitwiseAND(F.lit(0xFFFF)).cast("int")))
 
         return _bind(self._byte_ids(word), lambda ids: F.when(F.size(ids) < 2, ids).otherwise(fold(ids)))
 
@@ -117,12 +111,12 @@ class Fold:
 
         def step(a, _):
             def merged(ids):
-                def least(ranks):
-                    at = lambda m: F.array_position(ranks, m).cast("int")
-                    pair = lambda i: signs(F.slice(ids, i, 2))
-                    return _bind(F.coalesce(F.array_min(ranks), F.lit(NONE)), lambda m: F.when(m == NONE, F.struct(a["s"].alias("s"), F.lit(True).alias("done"))).otherwise(F.struct(F.replace(a["s"], pair(at(m)), signs(F.array(m))).alias("s"), F.lit(False).alias("done"))))
+                def least(v):
+                    at = lambda m: F.array_position(v, m).cast("int")
+                    id_ = lambda m: F.shiftrightunsigned(m, RANK_BIT).cast("int")
+                    return _bind(F.array_min(v), lambda m: F.when(m >= NONE << RANK_BIT, F.struct(a["s"].alias("s"), F.lit(True).alias("done"))).otherwise(F.struct(F.replace(a["s"], signs(F.slice(ids, at(m), 2)), signs(F.array(id_(m)))).alias("s"), F.lit(False).alias("done"))))
 
-                return _bind(self._ranks(ids), least)
+                return _bind(self._parts(ids), least)
 
             return F.when(a["done"], a).otherwise(_bind(ids_of(a["s"]), merged))
 
@@ -159,9 +153,9 @@ class Codec:
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     key = a << 16 | b
-                    pairs[key % PAIR_BUCKETS][str(key)] = rank
+                    pairs[key % PAIR_BUCKETS][str(key)] = rank << RANK_BIT
         little = [i.to_bytes(4, "little").hex() for i in range(size)]
-        return cls(_constant(pairs, "array<map<bigint,int>>"), _constant([ranks[bytes([b])] for b in range(256)], "array<int>"), _constant(pieces, "array<string>"), _constant(little, "array<string>"), "(?U)" + pattern)
+        return cls(_constant(pairs, "array<map<bigint,bigint>>"), _constant([ranks[bytes([b])] for b in range(256)], "array<int>"), _constant(pieces, "array<string>"), _constant(little, "array<string>"), "(?U)" + pattern)
 
     def words(self, text: str | Column) -> Column:
         """All matches of the pattern, in order."""

@@ -192,7 +192,8 @@ def train(docs: Iterable[list[list[str]]], labels: list[float]) -> Network:
             t += np.bincount(pairs % TABLE, y[pairs // TABLE], TABLE)
             c += np.bincount(pairs % TABLE, 1 - y[pairs // TABLE], TABLE)
         odds = np.log((t + 0.5) / (pos + 1)) - np.log((c + 0.5 * neg / pos) / (neg + neg / pos))
-        net.p[name][:, 0] += (np.clip(odds, -3, 3) * np.minimum(1, (t + c) / 8)).astype(np.float32)
+        sure = np.maximum(0, np.abs(odds) - 0.7 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))  # what some standard error leaves
+        net.p[name][:, 0] += np.clip(np.sign(odds) * sure, -3, 3).astype(np.float32)
     rng, moments, step = np.random.default_rng(SEED), {}, 0
 
     def embedded() -> np.ndarray:

@@ -78,8 +78,13 @@ def hits(docs: DataFrame, bench: DataFrame, ngram: int = 13, k: int = 5) -> Data
     d = fingerprints(d, "words", ngram, k)
     mask = F.lit((1 << PLACE_BITS) - 1)
     marks = F.transform("prints", lambda p: F.struct(F.shiftrightunsigned(p, PLACE_BITS).alias("gram"), F.lit(ngram).alias("length"), p.bitwiseAND(mask).cast("int").alias("place")))
+
+    def whole(m: int) -> Column:
+        """All places of m words with their hashes."""
+        return F.transform(_steps(F.size("words") - (m - 1)), lambda i: F.struct(_join(F.col("words"), i, m).alias("gram"), F.lit(m).alias("length"), i.alias("place")))
+
     for m in short:
-        marks = F.concat(marks, F.transform(_steps(F.size("words") - (m - 1)), lambda i, m=m: F.struct(_join(F.col("words"), i, m).alias("gram"), F.lit(m).alias("length"), i.alias("place"))))
+        marks = F.concat(marks, whole(m))
     met = d.select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.*").join(windows, ["gram", "length"])
     met = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct((F.col("place") - F.col("shift")).alias("start"), "length", "window", "item_id")).alias("_c"))
     out = docs.join(met, docs["doc_id"].eqNullSafe(met["_id"]), "left").drop("_id").withColumn("_w", words_of(docs["text"]))
