@@ -39,7 +39,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' token ids, their number, and the digest of the text that they decode to."""
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         codec = bpe.Codec.of(bpe.parse_ranks(f.read()), public_tokenizers.PATTERN)
-    out = codec.encode(docs.select("doc_id", "lang", "source", "text"), "text", "ids")
+    out = codec.encode(docs.select("doc_id", "lang", "source", "text"), "text", "ids", most=200_000)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"))
 
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Buckets of the rank map and of the word map: primes, so that pairs spread.
-PAIR_BUCKETS, WORD_BUCKETS = 65_521, 393_209
-#: Distinct words that the word map holds, the most frequent ones, each of at most WORD_BYTES.
-WORDS, WORD_BYTES = 1_000_000, 48
+PAIR_BUCKETS, WORD_BUCKETS = 65_521, 262_139
+#: Distinct words that the word map holds, those of most documents, each of at most WORD_BYTES.
+WORDS, WORD_BYTES = 600_000, 48
 #: Longer words are folded with all pairs of the least rank merged in one step.
 LONG = 1024
 #: The rank of a pair that isn't in the map, above all others, and the bit from which ranks are packed.
@@ -173,21 +173,21 @@ class Codec:
         held = lambda p, b: each(p, b, None) if known is None else _bind(known, lambda k: each(p, b, k))
         return _bind(self.pairs, lambda p: _bind(self.bytes_, lambda b: held(p, b)))
 
-    def word_map(self, docs: DataFrame, text: str) -> Column:
-        """The most frequent words with their ids, each folded once: a map whose size WORDS and WORD_BYTES bound."""
-        words = docs.select(F.explode(self.words(text)).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
-        top = words.orderBy(F.desc("count"), "w").limit(WORDS).repartition(F.col("w")).select("w", F.get(self.fold(F.array("w")), F.lit(0)).alias("ids"))
-        # One row of at most WORDS entries: a map for every bucket, in order.
+    def word_map(self, docs: DataFrame, text: str, most: int) -> Column:
+        """The words of most documents with their ids, each folded once: a map whose size `most` and WORD_BYTES bound."""
+        words = docs.select(F.explode(F.array_distinct(self.words(text))).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
+        top = words.orderBy(F.desc("count"), "w").limit(most).repartition(F.col("w")).select("w", F.get(self.fold(F.array("w")), F.lit(0)).alias("ids"))
+        # One row of at most `most` entries: a map for every bucket, in order.
         maps = top.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))
         every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
         empty = F.from_json(F.lit("{}"), "map<string,array<int>>")
         all_ = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.struct(F.map_entries(F.coalesce("m", empty)).alias("e")).alias("s")))), lambda x: F.map_from_entries(x["s"]["e"])).alias("m"))
         return _literal(all_)
 
-    def encode(self, docs: DataFrame, text: str, ids: str) -> DataFrame:
+    def encode(self, docs: DataFrame, text: str, ids: str, most: int = WORDS) -> DataFrame:
         """Adds the ids of the texts' words; a null text counts as empty, an empty one has none."""
         docs = docs.withColumn("_t", text_or_empty(text))
-        known = self.word_map(docs, "_t")
+        known = self.word_map(docs, "_t", most)
         docs = docs.withColumn("_w", self.words("_t"))
         return docs.withColumn(ids, F.flatten(self.fold(F.col("_w"), known))).drop("_t", "_w")
 
