@@ -23,7 +23,7 @@ def pretokens(text: Column, pattern: str = SPLIT_PATTERN) -> Column:
 
 def pretoken_counts(docs: DataFrame, text: str = "text", doc_cap: int | None = None) -> DataFrame:
     t = F.substring(text, 1, doc_cap) if doc_cap else F.col(text)
-    return docs.select(F.explode(pretokens(t)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return docs.select(F.explode_outer(pretokens(t)).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def learn_merges(counts: list[tuple[bytes, int]], size: int) -> dict[bytes, int]:

@@ -39,7 +39,7 @@ def label_distribution(sessions: DataFrame) -> DataFrame:
 
 
 def source_mix(sessions: DataFrame) -> DataFrame:
-    counts = sessions.select(F.explode(T.sources(F.col("text"))).alias("source")).groupBy("source").agg(F.count("*").alias("n_events"))
+    counts = sessions.select(F.explode_outer(T.sources(F.col("text"))).alias("source")).where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_events"))
     return with_share(counts, "n_events", "pct").orderBy(F.desc("n_events"), "source")
 
 
