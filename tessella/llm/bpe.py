@@ -175,7 +175,8 @@ class Codec:
 
     def word_map(self, docs: DataFrame, text: str, most: int) -> Column:
         """The words of most documents with their ids, each folded once: a map whose size `most` and WORD_BYTES bound."""
-        words = docs.select(F.explode(F.array_distinct(self.words(text))).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
+        # An inner explode would match the pattern twice, once to see that there are words.
+        words = docs.select(F.explode_outer(F.array_distinct(self.words(text))).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
         top = words.orderBy(F.desc("count"), "w").limit(most).repartition(F.col("w")).select("w", F.get(self.fold(F.array("w")), F.lit(0)).alias("ids"))
         # One row of at most `most` entries: a map for every bucket, in order.
         maps = top.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))

@@ -56,7 +56,7 @@ def item_windows(bench: DataFrame, ngram: int, k: int) -> DataFrame:
     """
     items = bench.select("item_id", words_of("text").alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") > 0)).distinct()
     n = F.size("words")
-    long = fingerprints(items.where(n >= ngram), "words", ngram, k).select("item_id", "words", F.explode("prints").alias("print"))
+    long = fingerprints(items.where(n >= ngram), "words", ngram, k).select("item_id", "words", F.explode_outer("prints").alias("print")).where("print IS NOT NULL")
     place = F.col("print").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     long = long.withColumn("place", place).withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - (ngram - k)), F.least(F.col("place"), n - ngram))))
     long = long.select(F.shiftrightunsigned("print", PLACE_BITS).alias("gram"), F.lit(ngram).alias("length"), (F.col("place") - F.col("j")).alias("shift"), _join(F.col("words"), F.col("j"), ngram).alias("window"), "item_id")
@@ -85,7 +85,8 @@ def hits(docs: DataFrame, bench: DataFrame, ngram: int = 13, k: int = 5) -> Data
 
     for m in short:
         marks = F.concat(marks, whole(m))
-    met = d.select("doc_id", F.explode(marks).alias("m")).select("doc_id", "m.*").join(windows, ["gram", "length"])
+    # An inner explode would make Spark test the array's size below, by working it out again in full.
+    met = d.select("doc_id", F.explode_outer(marks).alias("m")).where("m IS NOT NULL").select("doc_id", "m.*").join(windows, ["gram", "length"])
     met = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct((F.col("place") - F.col("shift")).alias("start"), "length", "window", "item_id")).alias("_c"))
     out = docs.join(met, docs["doc_id"].eqNullSafe(met["_id"]), "left").drop("_id").withColumn("_w", words_of(docs["text"]))
     n = F.size("_w")
