@@ -20,6 +20,7 @@ from ..operators import loss as L
 from ..operators import packing as P
 from ..operators import sessions as S
 from ..sources import generate as G
+from ..sources.corpus import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +37,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name == "documents" else df  # its texts are work; other tables' rows aren't
 
 
 def sessions(spark, sf_dir):

@@ -11,6 +11,17 @@ VALIDATION = "shard_06542.parquet"
 EXPERIMENTS = "commit string, val_bpb string, memory_gb string, status string, description string"
 
 
+#: Tables below so many bytes in storage are dealt out to all cores: one row group can't be split.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small in storage, dealt out to all cores; larger ones are split by the scan."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() >= SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shard_name(number: int) -> str:
     return f"shard_{number:05d}.parquet"
 
