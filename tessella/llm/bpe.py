@@ -20,7 +20,7 @@ from .common import text_or_empty
 
 #: Buckets of the rank map and of the word map: primes, so that pairs spread.
 PAIR_BUCKETS, WORD_BUCKETS = 65_521, 262_139
-#: Distinct words that the word map holds, those of most documents, each of at most WORD_BYTES.
+#: Distinct words that the word map holds, the most frequent ones, each of at most WORD_BYTES.
 WORDS, WORD_BYTES = 600_000, 48
 #: Longer words are folded with all pairs of the least rank merged in one step.
 LONG = 1024
@@ -174,9 +174,9 @@ class Codec:
         return _bind(self.pairs, lambda p: _bind(self.bytes_, lambda b: held(p, b)))
 
     def word_map(self, docs: DataFrame, text: str, most: int) -> Column:
-        """The words of most documents with their ids, each folded once: a map whose size `most` and WORD_BYTES bound."""
+        """The most frequent words with their ids, each folded once: a map whose size `most` and WORD_BYTES bound."""
         # An inner explode would match the pattern twice, once to see that there are words.
-        words = docs.select(F.explode_outer(F.array_distinct(self.words(text))).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
+        words = docs.select(F.explode_outer(self.words(text)).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
         top = words.orderBy(F.desc("count"), "w").limit(most).repartition(F.col("w")).select("w", F.get(self.fold(F.array("w")), F.lit(0)).alias("ids"))
         # One row of at most `most` entries: a map for every bucket, in order.
         maps = top.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))

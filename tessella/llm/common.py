@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import spread
+
 #: ASCII white space, the word separator of the word rules.
 SPACES = "\t\n\x0b\x0c\r "
 _own: list[str] = []
@@ -50,7 +52,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Python workers get it in batches of at most 1000 rows, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name == "documents" else df
 
 
 def text_or_empty(col: str | Column) -> Column:
