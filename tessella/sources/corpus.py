@@ -17,7 +17,7 @@ SMALL = 64 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A table that is small in storage, dealt out to all cores; larger ones are split by the scan."""
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() >= SMALL:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
