@@ -160,11 +160,11 @@ def packer(model: str, end_id: int, vocabulary: int, block_ids: int = 1 << 18, b
 
 
 def write_ids(docs: DataFrame, scratch: Scratch, model: str, end_id: int, vocabulary: int, name: str = "ids") -> DataFrame:
-    """Encodes docs (doc_id, text; null texts are empty) into blocks in ascending doc_id order, null ids first, ties by text."""
-    d = docs.select("doc_id", text_or_empty("text").alias("text"))
+    """Encodes docs (doc_id, text; null texts are empty) into blocks in ascending doc_id order, null ids first, ties by a hash of the text."""
+    d = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("tie", F.xxhash64("text"))  # range bounds are sampled to the driver, so no texts in them
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return scratch.write(d.mapInPandas(packer(model, end_id, vocabulary), FILE_SCHEMA), name)
+    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
+    return scratch.write(d.select("doc_id", "text").mapInPandas(packer(model, end_id, vocabulary), FILE_SCHEMA), name)
 
 
 def with_starts(blocks: DataFrame) -> DataFrame:

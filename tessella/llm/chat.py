@@ -114,13 +114,14 @@ OUT = "conv_id long, turn long, position long, role string, action string, inser
 def format_chats(turns: DataFrame) -> DataFrame:
     """Each row of turns (conv_id, turn, role, text) with its place, role and rendered text in the repaired conversation.
 
-    Turns are taken in (turn, role, text) order, null turns last; null and empty texts stay as empty
+    Turns are taken in (turn, role, hash of the text) order, null turns last; null and empty texts stay as empty
     turns; unknown and null roles get the cheapest one. Rows of a null conv_id are one conversation.
     """
     spark = turns.sparkSession
     scratch = Scratch(spark, "chat")
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # Range bounds are sampled to the driver, so no texts in them.
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("tie")]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     t = t.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     t = scratch.write(t.withColumn("part", F.spark_partition_id()), "sorted")
@@ -130,7 +131,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     split = {c for (_, _, hi), (_, lo, _) in zip(ends, ends[1:], strict=False) for c in [lo] if lo == hi}
 
     def whole(key, frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["turn", "role", "text"], kind="stable", na_position="last", key=lambda s: s if s.name == "turn" else s.fillna("").map(lambda x: x.encode("utf-8", "surrogatepass")))
+        f = frame.sort_values(["turn", "role", "tie"], kind="stable", na_position="last", key=lambda s: s.fillna("").map(lambda x: x.encode("utf-8", "surrogatepass")) if s.name == "role" else s)
         roles = [role_number(r) for r in f["role"]]
         cost, back = solve(roles, START)
         rows = repaired(f["text"].tolist(), roles, path(back, best_exit(cost)), True)
@@ -150,7 +151,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def _split(t: DataFrame, scratch: Scratch) -> DataFrame:
     """The conversations that stand in several partitions: blocks of turns, solved for every state they may begin in."""
     block = 512
-    keys = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
+    keys = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("tie")]
     from pyspark.sql import Window
 
     # A piece lies in one partition; its turns are numbered there and cut into blocks.
