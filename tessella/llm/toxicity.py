@@ -4,23 +4,24 @@ A word enters as the embedding of its hash beside the mean embedding of the hash
 bytes, both started from their log odds in toxic documents. Windows of WINDOW words, one every STRIDE words,
 cover the whole text; both directions of the recurrent network run over each, attention pools the
 states, and the document's score is its highest window's, calibrated by a logistic curve.
-Training picks each labelled document's highest window in every round, so that a toxic document
-teaches by its toxic passage and a clean one by its most suspicious.
+Training picks each labelled document's highest window of all in every round, so that a toxic document
+teaches by its toxic passage and a clean one by its most suspicious; executors score the windows, the
+driver gets the highest ones and as many drawn from the clean ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc_mod, text_or_empty
+from .common import Scratch, id_crc_mod, text_or_empty
 
-#: At most so many documents of each label are fitted, and so many windows of each, spread over its text.
-MOST_TOXIC, MOST_CLEAN, MOST_WINDOWS = 1200, 2400, 32
+#: At most so many documents of each label are fitted, with all windows of each.
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 WINDOW, STRIDE = 24, 16
 STATE, WIDTH, TABLE = 8, 6, 1 << 15
 ROUNDS, RATE, SEED = 8, 0.01, 11
@@ -153,76 +154,103 @@ def windows_of(n: int) -> np.ndarray:
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
-def train(docs: Iterable[list[list[str]]], labels: list[float]) -> Network:
-    """The network of documents given as windows of words. With one label alone, its share is every score."""
-    net = Network()
+def _pair_ids(words: list[str], doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc * TABLE + slot) of the words and of the n-grams that stand in the documents, each once; word indexes words."""
+    a, b, first = hashes(words)
+    starts = np.r_[first, len(b)].astype(np.int64)
+    reps = np.diff(starts)[word]
+    at = np.repeat(starts[word] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum()) if len(word) else np.empty(0, int)
+    return np.unique(doc * TABLE + a[word]), np.unique(np.repeat(doc, reps) * TABLE + b[at])
+
+
+def document_counts(docs: Iterable[list[str]], labels: Iterable[float]) -> np.ndarray:
+    """[word or n-gram, clean or toxic, TABLE]: in how many documents, given as words, each slot stands."""
+    out = np.zeros((2, 2, TABLE))
+    for found, y in zip(docs, labels, strict=True):
+        words = list(set(found))
+        for i in range(0, len(words), 50_000):  # n-grams are many; a slot of two parts counts once
+            part = words[i : i + 50_000]
+            pairs = _pair_ids(part, np.zeros(len(part), np.int64), np.arange(len(part)))
+            seen = pairs if not i else tuple(np.union1d(s, p) for s, p in zip(seen, pairs, strict=True))
+        for kind in range(2 if words else 0):
+            out[kind, int(y), seen[kind]] += 1
+    return out
+
+
+class Chosen:
+    """Windows of one round: each document's highest with its logit, and clean ones drawn from all of them."""
+
+    def __init__(self, best: list[list[str]], logits: np.ndarray, labels: np.ndarray, drawn: list[list[str]]):
+        self.best, self.logits, self.labels, self.drawn = best, logits, labels, drawn
+
+
+def choose(scorer: Scorer, docs: list[list[str]], keys: list[int], labels: list[float], turn: int, share: float) -> Iterator[tuple[int, float, float, list[str]]]:
+    """(position in docs, logit, -1, words) of each document's highest window, (position, 0, draw, words) of clean windows with draws below share."""
+    owner, logits = scorer.logits(docs)
+    ends = np.searchsorted(owner, np.arange(len(docs) + 1))
+    for i, (words, key, y) in enumerate(zip(docs, keys, labels, strict=True)):
+        starts, found = windows_of(len(words)), logits[ends[i] : ends[i + 1]]
+        at = int(starts[found.argmax()])
+        yield i, float(found.max()), -1.0, words[at : at + WINDOW]
+        if not y and share > 0:
+            draws = np.random.default_rng([SEED, turn, int(key) & 0x7FFFFFFFFFFFFFFF]).random(len(starts))
+            for s, draw in zip(starts[draws < share].tolist(), draws[draws < share].tolist(), strict=True):
+                yield i, 0.0, draw, words[s : s + WINDOW]
+
+
+def train(docs: Iterable[list[str]], labels: list[float]) -> Network:
+    """The network of documents given as words, all in this process."""
+    docs = list(docs)
     y = np.array(labels, np.float32)
+    total = sum(len(windows_of(len(d))) for d, k in zip(docs, labels, strict=True) if not k)
+
+    def pick(net: Network, turn: int, share: float) -> Chosen:
+        got = list(choose(Scorer(net), docs, range(len(docs)), labels, turn, share)) if docs else []
+        best = [r for r in got if r[2] < 0]
+        drawn = sorted((r for r in got if r[2] >= 0), key=lambda r: (r[2], r[0]))[: len(docs)]
+        return Chosen([r[3] for r in best], np.array([r[1] for r in best]), y, [r[3] for r in drawn])
+
+    return learn(y, total, lambda: document_counts(docs, labels), pick)
+
+
+def learn(y: np.ndarray, clean_windows: int, counts: Callable[[], np.ndarray], pick: Callable[[Network, int, float], Chosen]) -> Network:
+    """The network of documents that counts and pick look through wholly. With one label alone, its share is every score."""
+    net = Network()
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         net.line = (0.0, float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -14, 14)))
         return net
-    numbers: dict[str, int] = {}
-    owner, ids = [], []
-    for i, windows in enumerate(docs):
-        for w in windows:
-            row = [numbers.setdefault(x, len(numbers) + 1) for x in w[:WINDOW]]
-            ids.append(row + [0] * (WINDOW - len(row)))
-            owner.append(i)
-    ids, owner = np.array(ids), np.array(owner)
-    mask = (ids > 0).astype(np.float32)
-    words = list(numbers)
-    a, b, first = hashes(words)
-    sizes = np.diff(np.r_[first, len(b)])
     # Log odds of the hashes: in how many toxic and clean documents they stand.
-    doc_word = np.unique(np.stack([owner.repeat(WINDOW), ids.ravel()], axis=1)[ids.ravel() > 0], axis=0)
     pos, neg = y.sum(), len(y) - y.sum()
-    starts = np.r_[first, len(b)]
-    cuts = np.searchsorted(doc_word[:, 0], np.arange(0, len(y) + 128, 128))
-    for name in ("word", "char"):
-        t, c = np.zeros(TABLE), np.zeros(TABLE)
-        for lo, hi in zip(cuts, cuts[1:], strict=False):  # some documents at a time, as n-grams are many
-            doc, word = doc_word[lo:hi, 0], doc_word[lo:hi, 1] - 1
-            if name == "word":
-                pairs = doc * TABLE + a[word]
-            else:
-                reps = sizes[word]
-                at = np.repeat(starts[word] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum()) if len(word) else np.empty(0, int)
-                pairs = np.repeat(doc, reps) * TABLE + b[at]
-            pairs = np.unique(pairs)
-            t += np.bincount(pairs % TABLE, y[pairs // TABLE], TABLE)
-            c += np.bincount(pairs % TABLE, 1 - y[pairs // TABLE], TABLE)
+    for name, (c, t) in zip(("word", "char"), counts(), strict=True):
         odds = np.log((t + 0.5) / (pos + 1)) - np.log((c + 0.5 * neg / pos) / (neg + neg / pos))
         sure = np.maximum(0, np.abs(odds) - 0.7 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))  # what some standard error leaves
         net.p[name][:, 0] += np.clip(np.sign(odds) * sure, -3, 3).astype(np.float32)
     rng, moments, step = np.random.default_rng(SEED), {}, 0
-
-    def embedded() -> np.ndarray:
-        mean = np.add.reduceat(net.p["char"][b], first) / sizes[:, None]
-        return np.vstack([np.zeros((1, 2 * WIDTH), np.float32), np.hstack([net.p["word"][a], mean])]).astype(np.float32)
-
-    def logits(g: np.ndarray) -> np.ndarray:
-        return np.concatenate([net.forward(g[ids[i : i + 4096]], mask[i : i + 4096]) for i in range(0, len(ids), 4096)])
-
-    def highest(scores: np.ndarray) -> np.ndarray:
-        order = np.lexsort((scores, owner))
-        return order[np.flatnonzero(np.r_[owner[order][1:] != owner[order][:-1], True])]
+    share = min(1.0, 1.5 * len(y) / max(1, clean_windows))  # enough to draw as many as there are documents
 
     for turn in range(ROUNDS):
-        best = highest(logits(net.inputs(embedded())))
-        clean = np.flatnonzero(y[owner] == 0)
-        chosen = np.r_[best, rng.choice(clean, min(len(clean), len(best)), replace=False)]
-        rng.shuffle(chosen)
+        got = pick(net, turn, share)
+        numbers: dict[str, int] = {}
+        ids = np.zeros((len(got.best) + len(got.drawn), WINDOW), np.int64)
+        for i, w in enumerate([*got.best, *got.drawn]):
+            ids[i, : len(w)] = [numbers.setdefault(x, len(numbers) + 1) for x in w]
+        mask, target = (ids > 0).astype(np.float32), np.r_[got.labels, np.zeros(len(got.drawn), np.float32)]
+        a, b, first = hashes(list(numbers))
+        starts = np.r_[first, len(b)]
+        sizes = np.diff(starts)
+        chosen = rng.permutation(len(ids))
         for i in range(0, len(chosen), 128):
-            pick = chosen[i : i + 128]
-            used, where = np.unique(ids[pick], return_inverse=True)
-            where = where.reshape(len(pick), WINDOW)
+            pick_ = chosen[i : i + 128]
+            used, where = np.unique(ids[pick_], return_inverse=True)
+            where = where.reshape(len(pick_), WINDOW)
             rows = used[used > 0] - 1
             reps = sizes[rows]
             at = np.repeat(starts[rows] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
             mean = np.add.reduceat(net.p["char"][b[at]], np.r_[0, np.cumsum(reps)[:-1]]) / reps[:, None]
             x = np.hstack([net.p["word"][a[rows]], mean]).astype(np.float32)
             x = np.vstack([np.zeros((len(used) - len(rows), 2 * WIDTH), np.float32), x])
-            _, grad, dg = net.gradients(net.inputs(x)[where], mask[pick], y[owner[pick]])
+            _, grad, dg = net.gradients(net.inputs(x)[where], mask[pick_], target[pick_])
             du = np.zeros((len(used), 6 * STATE), np.float32)
             np.add.at(du, where.ravel(), dg.reshape(-1, 6 * STATE))
             h = 3 * STATE
@@ -237,8 +265,8 @@ def train(docs: Iterable[list[list[str]]], labels: list[float]) -> Network:
                 net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             np.add.at(net.p["word"], a[rows], -0.3 * dx[:, :WIDTH])
             np.add.at(net.p["char"], b[at], np.repeat(-0.3 * dx[:, WIDTH:] / reps[:, None], reps, axis=0))
-    scores = logits(net.inputs(embedded()))
-    net.line = _logistic(scores[highest(scores)], y)
+    got = pick(net, ROUNDS, 0.0)
+    net.line = _logistic(got.logits, got.labels)
     return net
 
 
@@ -276,30 +304,36 @@ class Scorer:
             self.rows.update(zip(part, range(at, at + len(part)), strict=True))
             at += len(part)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        words = [t.split() for t in texts]
+    def logits(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(which text, logit) of all windows of texts given as words."""
         self._learn(set().union(*words))
-        get, out, held, held_of = self.rows.__getitem__, np.full(len(texts), -np.inf), [], []
+        get, held, n_held, owner, out = self.rows.__getitem__, [], 0, [], []
 
         def flush() -> None:
             ids = np.concatenate(held)
             for i in range(0, len(ids), 2048):
                 part = ids[i : i + 2048]
-                logit = self.net.forward(self.inputs[part], (part > 0).astype(np.float32))
-                np.maximum.at(out, np.array(held_of)[i : i + 2048], logit)
+                out.append(self.net.forward(self.inputs[part], (part > 0).astype(np.float32)))
             held.clear()
-            held_of.clear()
 
         for n, found in enumerate(words):
             starts = windows_of(len(found))
             ids = np.zeros(starts[-1] + WINDOW, np.int64)
             ids[: len(found)] = np.fromiter(map(get, found), np.int64, len(found))
             held.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[starts])
-            held_of += [n] * len(starts)
-            if len(held_of) >= 8192:
+            owner.append(np.full(len(starts), n))
+            n_held += len(starts)
+            if n_held >= 8192:
                 flush()
+                n_held = 0
         if held:
             flush()
+        return np.concatenate(owner), np.concatenate(out)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        out = np.full(len(texts), -np.inf)
+        if texts:
+            np.maximum.at(out, *self.logits([t.split() for t in texts]))
         a, b = self.net.line
         return 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30)))
 
@@ -311,20 +345,47 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2) ->
     first = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN))
 
-    def cut(frames):
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    d = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Texts of one id and their order don't matter: a document's draws depend on its id and text.
+    d = scratch.write(d.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text")), "fitted")
+
+    def measured(frames):
+        total = np.zeros((2, 2, TABLE))
         for f in frames:
-            out = []
-            for text in f["text"]:
-                words = text.split()
-                starts = windows_of(len(words))
-                if len(starts) > MOST_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, MOST_WINDOWS).astype(int)]
-                out.append("\n".join(" ".join(words[s : s + WINDOW]) for s in starts))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "windows": out})
+            total += document_counts((t.split() for t in f["text"]), f["y"])
+        kind, label, slot = np.nonzero(total)
+        yield pd.DataFrame({"kind": kind, "label": label, "slot": slot, "n": total[kind, label, slot].astype(np.int64)})
 
-    d = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = d.mapInPandas(cut, "doc_id long, y double, windows string").toPandas().sort_values(["doc_id", "windows"], kind="stable")
-    return train(([w.split(" ") if w else [] for w in t.split("\n")] for t in got["windows"]), got["y"].tolist())
+    def sized(frames):
+        for f in frames:
+            yield pd.DataFrame({"key": f["key"], "y": f["y"], "n": [len(windows_of(len(t.split()))) for t in f["text"]]})
+
+    sizes = d.mapInPandas(sized, "key long, y double, n long").groupBy("y").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).toPandas()
+    y = np.repeat(sizes["y"].to_numpy(np.float32), sizes["docs"])
+    clean_windows = int(sizes.loc[sizes["y"] == 0, "n"].sum())
+
+    def counts() -> np.ndarray:
+        got = d.mapInPandas(measured, "kind int, label int, slot int, n long").groupBy("kind", "label", "slot").agg(F.sum("n").alias("n")).toPandas()
+        out = np.zeros((2, 2, TABLE))
+        out[got["kind"], got["label"], got["slot"]] = got["n"]
+        return out
+
+    def pick(net: Network, turn: int, share: float) -> Chosen:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = Scorer(net)
+            for f in frames:
+                if len(f):
+                    rows = choose(scorer, [t.split() for t in f["text"]], f["key"].tolist(), f["y"].tolist(), turn, share)
+                    yield pd.DataFrame([(f["key"].iloc[i], f["y"].iloc[i], *r) for i, *r in rows], columns=["key", "y", "logit", "draw", "words"])
+
+        got = d.mapInPandas(run, "key long, y double, logit double, draw double, words array<string>").toPandas()
+        best, drawn = got[got["draw"] < 0].sort_values("key", kind="stable"), got[got["draw"] >= 0].sort_values(["draw", "key"]).head(len(y))
+        return Chosen([list(w) for w in best["words"]], best["logit"].to_numpy(), best["y"].to_numpy(np.float32), [list(w) for w in drawn["words"]])
+
+    net = learn(y, clean_windows, counts, pick)
+    scratch.drop("fitted")
+    return net
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -175,3 +175,21 @@ def test_chats(spark):
             cost += {"keep": 0, "relabel": chat.NAME if r == 0 else chat.RELABEL, "merge": chat.MERGE if r in (q, 0) else chat.MERGE_OTHER}[action]
         assert cost == least_cost(roles), c
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_toxicity_sees_all_windows(spark):
+    # The passage lies in one window of some 400, at another place of each text.
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        words = [f"w{x}" for x in rng.integers(0, 300, 6400)]
+        if i % 2:
+            at = int(rng.integers(0, 6390))
+            words[at : at + 4] = ["vile", "rotten", "filthy", "scum"]
+        rows.append((i, " ".join(words), i % 2))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = d.select("doc_id", "text"), d.select("doc_id", "toxic")
+    got = toxicity.report(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = got[got["held_out"]]
+    assert auc(held["score"].to_numpy(), held["toxic"].to_numpy()) > 0.95
+    assert (held["predicted"] == held["toxic"]).mean() > 0.9
