@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 SPECIAL_TOKENS = tuple(f"<|reserved_{i}|>" for i in range(4))
 BOS = SPECIAL_TOKENS[0]
-#: The most frequent distinct pre-tokens that merges are learned from.
-TRAINED_WORDS = 50_000
 
 
 def pretokens(text: Column, pattern: str = SPLIT_PATTERN) -> Column:
@@ -36,18 +35,20 @@ def learn_merges(counts: list[tuple[bytes, int]], size: int) -> dict[bytes, int]
         for p in zip(w, w[1:], strict=False):
             pairs[p] += n
             where[p].add(i)
-    while len(names) < size and pairs:
-        best = max(pairs, key=lambda p: (pairs[p], -p[0], -p[1]))
-        if pairs[best] <= 0:
-            break
-        new = len(names)
+    heap = [(-n, *p) for p, n in pairs.items()]  # an entry whose count isn't the pair's any more is void
+    heapq.heapify(heap)
+    while len(names) < size and heap:
+        n, *pair = heapq.heappop(heap)
+        best = (pair[0], pair[1])
+        if pairs.get(best) != -n:
+            continue
+        new, changed = len(names), set()
         names.append(names[best[0]] + names[best[1]])
         for i in where.pop(best):
             w, n = words[i]
             for p in zip(w, w[1:], strict=False):
                 pairs[p] -= n
-                if pairs[p] <= 0:
-                    del pairs[p]
+                changed.add(p)
             j, out = 0, []
             while j < len(w):
                 if j + 1 < len(w) and (w[j], w[j + 1]) == best:
@@ -59,15 +60,23 @@ def learn_merges(counts: list[tuple[bytes, int]], size: int) -> dict[bytes, int]
             words[i] = (out, n)
             for p in zip(out, out[1:], strict=False):
                 pairs[p] += n
+                changed.add(p)
                 where[p].add(i)
+        changed.discard(best)
         pairs.pop(best, None)
+        for p in changed:
+            if pairs[p] > 0:
+                heapq.heappush(heap, (-pairs[p], *p))
+            else:
+                del pairs[p]
+                where.pop(p, None)
     return {name: i for i, name in enumerate(names)} if len(set(names)) == len(names) else {n: i for i, n in enumerate(dict.fromkeys(names))}
 
 
 def train_vocabulary(docs: DataFrame, size: int = 8192, doc_cap: int | None = 10_000) -> dict[bytes, int]:
-    """Merge ranks; `size` counts the special tokens too. Counting is distributed, merging sees a bounded table."""
-    top = pretoken_counts(docs, doc_cap=doc_cap).orderBy(F.desc("n"), "token").limit(TRAINED_WORDS).collect()
-    return learn_merges([(r["token"].encode(), r["n"]) for r in top], size - len(SPECIAL_TOKENS))
+    """Merge ranks; `size` counts the special tokens too. Counting is distributed, merging sees every distinct pre-token that has a pair."""
+    words = pretoken_counts(docs, doc_cap=doc_cap).where(F.octet_length("token") > 1).select(F.col("token").cast("binary").alias("token"), "n").toPandas()
+    return learn_merges(list(zip(map(bytes, words["token"]), words["n"].tolist(), strict=True)), size - len(SPECIAL_TOKENS))
 
 
 def vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:

@@ -280,7 +280,7 @@ def pretoken_counts_plain(spark, sf_dir):
 
 
 def _ranks(spark, sf_dir):
-    return K.train_vocabulary(table(spark, sf_dir, "documents"), size=768)
+    return K.train_vocabulary(table(spark, sf_dir, "documents"), size=8192)
 
 
 @query()

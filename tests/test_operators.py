@@ -224,3 +224,34 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = spark.table("live").orderBy("start").collect()
     assert (got[0]["n_events"], got[0]["n_errors"], got[0]["worst"]) == (3, 1, 10.0)
+
+
+def test_vocabulary_learns_from_all_pretokens(spark):
+    # 60,000 pre-tokens of equal counts; the letters "zq" stand only in those that are last in order.
+    letters = "abcdefghijklmnopqrst"
+    rare = [letters[i % 20] + letters[i // 20 % 20] + letters[i // 400 % 20] + letters[i // 8000] for i in range(52_000)]
+    docs = spark.createDataFrame([(" ".join(rare[i::8]) + " " + " ".join(f"zq{w}" for w in rare[i:9_000:8]),) for i in range(8)], "text string")
+    ranks = K.train_vocabulary(docs, size=300, doc_cap=None)
+    assert b" zq" in ranks
+
+
+def test_merges_are_the_most_frequent_pairs():
+    import random
+
+    rng = random.Random(3)
+    counts = [(w, rng.randint(1, 9)) for w in {bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 9))) for _ in range(300)}]
+    names, words = [bytes([i]) for i in range(256)], [(list(w), n) for w, n in counts]
+    while len(names) < 330:
+        pairs = {}
+        for w, n in words:
+            for p in zip(w, w[1:], strict=False):
+                pairs[p] = pairs.get(p, 0) + n
+        best = max(pairs, key=lambda p: (pairs[p], -p[0], -p[1]))
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == best:
+                    w[i : i + 2] = [len(names)]
+                i += 1
+        names.append(names[best[0]] + names[best[1]])
+    assert list(K.learn_merges(counts, 330)) == list(dict.fromkeys(names))
