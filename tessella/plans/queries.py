@@ -396,10 +396,10 @@ def parameter_groups(spark, sf_dir):
 
 @query()
 def generate_corpus(spark, sf_dir):
-    return G.generate_sessions(spark, 2000)
+    return G.generate_corpus(spark)
 
 
 @query()
 def generator_rates(spark, sf_dir):
-    g = G.generate_sessions(spark, 2000).withColumn("label", T.session_label(T.anomaly_hits(F.col("text"))))
+    g = G.generate_corpus(spark).withColumn("label", T.session_label(T.anomaly_hits(F.col("text"))))
     return S.with_share(g.groupBy("kind", "label").agg(F.count("*").alias("n_sessions")), "n_sessions", "pct")

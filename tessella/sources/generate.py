@@ -13,7 +13,13 @@ GAP_MS, LATENCY_LOG, SPIKE = (50, 2000), (4.4, 0.6), (1800, 32000)
 LEVELS = (("DEBUG", 30), ("INFO", 50), ("WARN", 15), ("ERROR", 4), ("CRITICAL", 1))
 HEALTH = (("NORMAL", 70), ("SLOW", 15), ("VERY_SLOW", 8), ("STALL", 4), ("ERROR", 3))
 KINDS = ("timeout", "oom", "circuit_open", "rate_limited", "connection_refused", "ssl_handshake_fail", "dns_nxdomain", "memory_leak", "thread_pool_exhausted")
-OPERATIONS = ("http.get", "http.post", "db.query", "db.write", "cache.get", "queue.publish")
+OPERATIONS = ("http.request", "db.query", "db.write", "db.transaction", "cache.get", "cache.set", "rpc.call", "queue.publish", "queue.consume", "auth.validate", "llm.completion", "embedding.encode")
+METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
+LINKS = ("mpls→inet", "inet→mpls", "mpls→mpls", "inet→inet", "4g→mpls", "lte→inet")
+MESSAGES = {"DEBUG": "handler_entered", "INFO": "request_completed", "WARN": "cache_miss_rate_elevated", "ERROR": "upstream_timeout", "CRITICAL": "circuit_breaker_open"}
+ALERTS = ("token_expired", "pii_leak_detected", "policy_violation", "cost_explosion", "oom_kill", "disk_full", "llm_jailbreak_attempt", "prompt_injection_detected", "data_exfil_blocked", "api_key_exposed")
+# The reference's shards: training ones, the validation one, sessions of each, and the seeds.
+TRAIN_SHARDS, VAL_SHARD, SHARD_ROWS, TRAIN_SEED, VAL_SEED = 20, 6542, 1000, 42, 99999
 SERVICES = tuple(f"svc-{i:02d}" for i in range(26))
 SITES = tuple(f"branch-{i:02d}" for i in range(15))
 
@@ -66,18 +72,21 @@ def _num(value: Column, digits: int) -> Column:
 def _bodies(d: Draw, bad: Column) -> dict[str, Column]:
     """The fields of a line of each source, in its normal or its anomalous form."""
     pick = lambda a, b: F.when(bad, a).otherwise(b)
-    svc, prompt, spiked = d.choice(SERVICES), d.integer(20, 512), d.uniform() < 0.05
+    svc, prompt, spiked = d.choice(SERVICES), pick(d.integer(256, 4096), d.integer(20, 512)), d.uniform() < 0.05
     took = F.when(spiked, d.spike()).otherwise(d.latency())
-    health, base, op = d.weighted(HEALTH), d.integer(50, 400), d.choice(OPERATIONS)
+    health, base, op = d.weighted(HEALTH), d.latency(), d.choice(OPERATIONS)
     factor = F.when(health == "NORMAL", 1.0).when(health == "SLOW", d.uniform(2, 4)).when(health == "VERY_SLOW", d.uniform(4, 10)).otherwise(d.uniform(10, 30))
-    level = pick(F.lit("CRITICAL"), d.weighted(LEVELS))
+    level = d.weighted(LEVELS)
+    message = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])[level]
+    answered = F.floor(10 + d.uniform() * (prompt - 9)).cast("int")
+    is_db = op.contains("db")
     return {
-        "APMTracer": F.concat(F.lit("[svc="), svc, F.lit("] "), _kv(("latency_ms", pick(d.spike(), d.latency())), ("error", pick(d.choice(KINDS), F.lit("none"))), ("trace_id", d.hex(16)), ("span_id", d.hex(16)), ("http_status", pick(d.choice((400, 401, 403, 404, 408, 429, 500, 502, 503, 504)), F.lit(200))), ("gpu_util", _num(pick(d.uniform(0.88, 0.99), d.uniform(0.05, 0.65)), 2)), ("prompt_tokens", prompt), ("cost_usd", _num(prompt * 0.000003, 6)), ("drift_score", _num(pick(d.uniform(0.65, 0.99), d.uniform(0, 0.12)), 3)))),
-        "NetIntel": _kv(("path", F.concat(F.lit("internet→region-"), d.integer(1, 5).cast("string"))), ("latency_ms", pick(d.integer(800, 8000), d.integer(10, 200))), ("jitter_ms", pick(d.integer(50, 800), d.integer(1, 8))), ("packet_loss", _num(pick(d.uniform(0.05, 0.45), d.uniform(0, 0.001)), 4)), ("bgp_changes", pick(d.integer(1, 12), F.lit(0))), ("reachable", pick(d.choice(("true", "false")), F.lit("true")))),
-        "LogStream": F.concat(_kv(("host", F.concat(F.lit("host-"), d.integer(1, 51).cast("string"))), ("level", level), ("svc", svc), ("latency_ms", pick(d.spike(), d.latency())), ("session_id", d.hex(8))), F.when(bad, " alert=true escalated=true pagerduty=triggered").otherwise("")),
-        "OTel": _kv(("trace_id", d.hex(16)), ("span_id", d.hex(16)), ("parent", d.hex(16)), ("op", op), ("svc", svc), ("duration_ms", took), ("status", F.when(spiked | (took > 1000), "error").otherwise("ok")), ("db", F.when(op.startswith("db"), "postgres").otherwise("n/a")), ("rows", F.when(op.startswith("db"), d.integer(0, 5000)).otherwise(0))),
-        "WANController": F.concat(_kv(("site", d.choice(SITES)), ("interface", F.concat(F.lit("ge0/"), d.integer(0, 3).cast("string"))), ("qos", pick(F.lit("be"), d.choice(("ef", "af41", "af31", "cs3", "cs1", "be")))), ("latency_ms", pick(d.integer(500, 5000), d.integer(10, 80))), ("loss", _num(pick(d.uniform(0.05, 0.4), F.lit(0.0)), 3)), ("policy", pick(F.lit("VIOLATED"), F.lit("active")))), F.when(bad, " alert=link_degraded").otherwise("")),
-        "APMTracer-BizTxn": _kv(("trace_id", d.hex(16)), ("svc", svc), ("txn", F.concat(F.lit("/"), svc, F.lit("/api/v2/"), d.choice(("checkout", "search", "auth", "recommend")))), ("health", health), ("response_time_ms", (base * factor).cast("int")), ("baseline_ms", base), ("call_count", d.integer(1, 500)), ("error_pct", _num(F.when(health == "NORMAL", d.uniform(0, 0.05)).otherwise(d.uniform(0, 0.8)), 3))),
+        "APMTracer": F.concat(F.lit("[svc="), svc, F.lit("] "), _kv(("latency_ms", pick(d.spike(), d.latency())), ("error", pick(d.choice(KINDS), F.lit("none"))), ("trace_id", d.hex(16)), ("span_id", d.hex(16)), ("http_status", pick(d.choice((400, 401, 403, 404, 408, 429, 500, 502, 503, 504)), F.lit(200))), ("http_method", d.choice(METHODS)), ("gpu_util", _num(pick(d.uniform(0.88, 0.99), d.uniform(0.05, 0.65)), 2)), ("prompt_tokens", prompt), ("response_tokens", pick(F.lit(0), answered)), ("cost_usd", _num(prompt * 0.000003, 6)), ("drift_score", _num(pick(d.uniform(0.65, 0.99), d.uniform(0, 0.12)), 3)))),
+        "NetIntel": _kv(("path", F.concat(F.lit("internet→region-"), d.integer(1, 5).cast("string"))), ("latency_ms", pick(d.integer(800, 8000), d.integer(10, 200))), ("jitter_ms", pick(d.integer(50, 800), d.integer(1, 8))), ("packet_loss", _num(pick(d.uniform(0.05, 0.45), d.uniform(0, 0.001)), 4)), ("bgp_changes", pick(d.integer(1, 12), F.lit(0))), ("dns_ms", pick(d.integer(200, 5000), d.integer(5, 40))), ("hop_count", pick(d.integer(18, 32), d.integer(7, 14))), ("mtu", pick(d.choice((576, 1400, 1500)), F.lit(1500))), ("reachable", pick(d.choice(("true", "false")), F.lit("true")))),
+        "LogStream": F.concat(_kv(("host", F.concat(F.lit("host-"), d.integer(1, 51).cast("string"))), ("level", pick(F.lit("CRITICAL"), level)), ("svc", svc), ("msg", pick(d.choice(ALERTS), message)), ("latency_ms", pick(d.spike(), d.latency())), ("session_id", d.hex(8))), F.when(bad, " alert=true escalated=true pagerduty=triggered").otherwise(""), F.lit(" "), _kv(("user_id", F.concat(F.lit("usr_"), d.integer(10000, 99999).cast("string"))))),
+        "OTel": _kv(("trace_id", d.hex(16)), ("span_id", d.hex(16)), ("parent", d.hex(16)), ("op", op), ("svc", svc), ("duration_ms", took), ("status", F.when(spiked | (took > 1000), "error").otherwise("ok")), ("db", F.when(is_db, "postgres").otherwise("n/a")), ("rows", F.when(is_db, d.integer(0, 5000)).otherwise(0)), ("k8s_pod", F.concat(svc, F.lit("-"), d.hex(8))), ("k8s_ns", F.lit("prod"))),
+        "WANController": F.concat(_kv(("site", d.choice(SITES)), ("link", d.choice(LINKS)), ("qos", pick(F.lit("be"), d.choice(("ef", "af41", "af31", "cs3", "cs1", "be")))), ("latency_ms", pick(d.integer(500, 5000), d.integer(10, 80))), ("loss", _num(pick(d.uniform(0.05, 0.4), F.lit(0.0)), 3)), ("jitter_ms", pick(d.integer(80, 600), d.integer(1, 5))), ("bw_util", _num(pick(d.uniform(0.92, 1.0), d.uniform(0.1, 0.75)), 3)), ("policy", pick(F.lit("VIOLATED"), F.lit("active")))), F.when(bad, " alert=link_degraded").otherwise(""), F.lit(" "), _kv(("interface", F.concat(F.lit("ge0/"), d.integer(0, 3).cast("string"))))),
+        "APMTracer-BizTxn": _kv(("trace_id", d.hex(16)), ("svc", svc), ("txn", F.concat(F.lit("/"), svc, F.lit("/api/v2/"), d.choice(("checkout", "search", "auth", "recommend")))), ("health", health), ("response_time_ms", F.when(health == "ERROR", d.spike()).otherwise((base * factor).cast("int"))), ("baseline_ms", base), ("call_count", d.integer(1, 500)), ("error_pct", _num(F.when(health == "NORMAL", d.uniform(0, 0.05)).otherwise(d.uniform(0, 0.8)), 3)), ("slow_pct", _num(F.when(health == "NORMAL", d.uniform(0, 0.1)).otherwise(d.uniform(0, 0.9)), 3))),
     }
 
 
@@ -116,3 +125,11 @@ def generate_sessions(spark: SparkSession, n: int, **options) -> DataFrame:
     e = generate_events(spark, n, **options)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("event_pos", "line"))), lambda x: x["line"])
     return e.groupBy("session_id", "shard", "kind").agg(F.array_join(lines, "\n").alias("text"))
+
+
+def generate_corpus(spark: SparkSession) -> DataFrame:
+    """(session_id, shard, kind, text) of the training shards and of the validation shard, whose ids come after theirs."""
+    n = TRAIN_SHARDS * SHARD_ROWS
+    val = generate_sessions(spark, SHARD_ROWS, seed=VAL_SEED, shard_rows=SHARD_ROWS)
+    val = val.withColumns({"session_id": F.col("session_id") + n, "shard": F.lit(VAL_SHARD)})
+    return generate_sessions(spark, n, seed=TRAIN_SEED, shard_rows=SHARD_ROWS).unionByName(val)

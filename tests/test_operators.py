@@ -255,3 +255,25 @@ def test_merges_are_the_most_frequent_pairs():
                 i += 1
         names.append(names[best[0]] + names[best[1]])
     assert list(K.learn_merges(counts, 330)) == list(dict.fromkeys(names))
+
+
+def test_generator_writes_all_attributes(spark):
+    keys = {
+        "APMTracer": "latency_ms error trace_id span_id http_status http_method gpu_util prompt_tokens response_tokens cost_usd drift_score",
+        "NetIntel": "path latency_ms jitter_ms packet_loss bgp_changes dns_ms hop_count mtu reachable",
+        "LogStream": "host level svc msg latency_ms session_id user_id",
+        "OTel": "trace_id span_id parent op svc duration_ms status db rows k8s_pod k8s_ns",
+        "WANController": "site link qos latency_ms loss jitter_ms bw_util policy interface",
+        "APMTracer-BizTxn": "trace_id svc txn health response_time_ms baseline_ms call_count error_pct slow_pct",
+    }
+    for r in G.generate_events(spark, 300).collect():
+        found = dict(x.split("=", 1) for x in r["line"].split(" ")[2:] if not x.startswith("["))
+        extra = {"LogStream": {"alert", "escalated", "pagerduty"}, "WANController": {"alert"}}.get(r["src"], set()) if r["kind"] != "normal" else set()
+        assert set(found) == set(keys[r["src"]].split()) | extra, r["line"]
+        if r["src"] == "APMTracer":
+            n, m = int(found["prompt_tokens"]), int(found["response_tokens"])
+            assert (20 <= n <= 512 and 10 <= m <= n) if r["kind"] == "normal" else (256 <= n <= 4096 and m == 0)
+        if found.get("health") == "ERROR":
+            assert 1800 <= int(found["response_time_ms"]) <= 32000
+    n = {r["shard"]: r["n"] for r in G.generate_corpus(spark).groupBy("shard").agg(F.countDistinct("session_id").alias("n")).collect()}
+    assert n == dict.fromkeys([*range(20), 6542], 1000)
