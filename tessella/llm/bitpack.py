@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, id_text, text_or_empty
 
 #: Encodings of words that a worker keeps; beyond that, new words are encoded for their batch alone.
 CACHE = 500_000
@@ -34,8 +34,10 @@ def width_of(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """Ids of `width` bits each, the last byte filled with zeros."""
+    """Ids of `width` bits each, the last byte filled with zeros. An id that needs more bits is an error."""
     ids = np.ascontiguousarray(ids, ">u4")
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {ids.max()} needs more than {width} bits")
     if width == 16:
         return ids.astype(">u2").tobytes()
     bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
@@ -80,14 +82,14 @@ class CachedEncoder:
 
     The tokenizer's pattern cuts on both sides of a lone line feed and before a lone space, so for
     texts whose white space is such, the ids of the words, each with its space, are those of the whole.
-    Other texts are encoded whole. Strings of special tokens are ordinary text.
+    Other texts are encoded whole, and so are those that hold a string of an added token, whose id it becomes.
     """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._ids("\n").tobytes()
         self.spaced = Words(lambda w: self._word(w, " "), CACHE)
         self.bare = Words(lambda w: self._word(w, ""), CACHE // 4)
@@ -112,7 +114,7 @@ class CachedEncoder:
         """The ids as little-endian 32-bit integers."""
         feeds, words = text.count("\n"), text.split()
         gaps = text.count(" ") + feeds
-        if not words or gaps != len(words) - 1 or sum(map(len, words)) + gaps != len(text):
+        if not words or gaps != len(words) - 1 or sum(map(len, words)) + gaps != len(text) or any(t in text for t in self.added):
             return self._ids(text).tobytes() if text else b""
         spaced, bare, feed, parts = self.spaced.__getitem__, self.bare, self.feed, []
         for line in text.split("\n") if feeds else [text]:
@@ -142,7 +144,7 @@ def packer(model: str, end_id: int, vocabulary: int, block_ids: int = 1 << 18, b
             return pd.DataFrame({"part": [part], "seq": [seq], "doc_ids": [docs], "counts": [counts], "n_ids": [total], "before": [before], "width": [width], "payload": [pack(np.frombuffer(b"".join(ids), "<u4"), width)]})
 
         for frame in frames:
-            keys = [None if k != k or k is None else int(k) for k in frame["doc_id"].astype(object)]
+            keys = [None if k is None else int(k) for k in frame["doc_id"]]
             texts = frame["text"].tolist()
             for key, text in zip(keys, texts, strict=True):
                 got = encoder.encode(text)
@@ -164,7 +166,7 @@ def write_ids(docs: DataFrame, scratch: Scratch, model: str, end_id: int, vocabu
     d = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("tie", F.xxhash64("text"))  # range bounds are sampled to the driver, so no texts in them
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-    return scratch.write(d.select("doc_id", "text").mapInPandas(packer(model, end_id, vocabulary), FILE_SCHEMA), name)
+    return scratch.write(d.select(id_text(d), "text").mapInPandas(packer(model, end_id, vocabulary), FILE_SCHEMA), name)
 
 
 def with_starts(blocks: DataFrame) -> DataFrame:
@@ -190,7 +192,13 @@ def read_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_ids(blocks: DataFrame) -> DataFrame:
     """All documents of the blocks with their ids."""
-    return with_starts(blocks).select("doc_ids", "counts", "start", "width", "payload").mapInPandas(read_rows, "doc_id long, start long, n_tokens long, ids array<long>")
+    return _unpacked(blocks, read_rows, "n_tokens long, ids array<long>")
+
+
+def _unpacked(blocks: DataFrame, read, columns: str) -> DataFrame:
+    """(doc_id, start and more columns) of all documents; ids go through Python as text, beside nulls it has no integers."""
+    b = with_starts(blocks).select(F.transform("doc_ids", lambda x: x.cast("string")).alias("doc_ids"), "counts", "start", "width", "payload")
+    return b.mapInPandas(read, f"doc_id string, start long, {columns}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def read_document(blocks: DataFrame, doc_id: int) -> list[int]:
@@ -207,10 +215,10 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = unpack(b.payload, b.width, 0, int(ends[-1]))
             starts = ends - np.asarray(b.counts, np.int64)
             crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": pd.array(list(b.doc_ids), "Int64"), "start": b.start + starts, "n_tokens": np.asarray(b.counts, np.int64), "ids_crc32": crc})
+            yield pd.DataFrame({"doc_id": list(b.doc_ids), "start": b.start + starts, "n_tokens": np.asarray(b.counts, np.int64), "ids_crc32": crc})
 
 
 def report(docs: DataFrame, model: str, end_id: int, vocabulary: int) -> DataFrame:
     """Per document, what the written files hold: start, length and checksum of its ids."""
     blocks = write_ids(docs, Scratch(docs.sparkSession, "token-ids"), model, end_id, vocabulary)
-    return with_starts(blocks).select("doc_ids", "counts", "start", "width", "payload").mapInPandas(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _unpacked(blocks, _digests, "n_tokens long, ids_crc32 long")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import private, text_or_empty
 
 #: Buckets of the rank map and of the word map: primes, so that pairs spread.
 PAIR_BUCKETS, WORD_BUCKETS = 65_521, 262_139
@@ -186,11 +186,12 @@ class Codec:
         return _literal(all_)
 
     def encode(self, docs: DataFrame, text: str, ids: str, most: int = WORDS) -> DataFrame:
-        """Adds the ids of the texts' words; a null text counts as empty, an empty one has none."""
-        docs = docs.withColumn("_t", text_or_empty(text))
-        known = self.word_map(docs, "_t", most)
-        docs = docs.withColumn("_w", self.words("_t"))
-        return docs.withColumn(ids, F.flatten(self.fold(F.col("_w"), known))).drop("_t", "_w")
+        """Adds the ids of the texts' words in place of any column of that name; a null text counts as empty, an empty one has none."""
+        t, w = private("text"), private("words")
+        docs = docs.withColumn(t, text_or_empty(text))
+        known = self.word_map(docs, t, most)
+        docs = docs.withColumn(w, self.words(t))
+        return docs.withColumn(ids, F.flatten(self.fold(F.col(w), known))).drop(t, w)
 
     def decode(self, ids: str | Column) -> Column:
         """The bytes of the ids' pieces, one after the other."""

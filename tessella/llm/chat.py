@@ -109,13 +109,13 @@ def repaired(texts: list[str], roles: list[int], states: list[int], last: bool,
     return out
 
 
-OUT = "conv_id long, turn long, position long, role string, action string, inserted string, rendered string"
+OUT = "conv_id string, turn string, position long, role string, action string, inserted string, rendered string"
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Each row of turns (conv_id, turn, role, text) with its place, role and rendered text in the repaired conversation.
 
     Turns are taken in (turn, role, hash of the text) order, null turns last; null and empty texts stay as empty
-    turns; unknown and null roles get the cheapest one. Rows of a null conv_id are one conversation.
+    turns; unknown and null roles get the cheapest one. Rows of a null conv_id are one conversation. Ids and turns are integers.
     """
     spark = turns.sparkSession
     scratch = Scratch(spark, "chat")
@@ -124,38 +124,39 @@ def format_chats(turns: DataFrame) -> DataFrame:
     keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role"), F.col("tie")]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     t = t.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    t = scratch.write(t.withColumn("part", F.spark_partition_id()), "sorted")
+    t = scratch.write(t.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "sorted")
     # A conversation that stands in two partitions is the last of one and the first of another.
-    ends = t.groupBy("part").agg(F.min(F.struct(F.coalesce("conv_id", F.lit(-(1 << 62))).alias("c"))).alias("lo"), F.max(F.struct(F.coalesce("conv_id", F.lit(-(1 << 62))).alias("c"))).alias("hi"))
-    ends = sorted((r["part"], r["lo"]["c"], r["hi"]["c"]) for r in ends.collect())  # a row for each partition
+    ends = t.groupBy("part").agg(F.min(F.struct("conv_id")).alias("lo"), F.max(F.struct("conv_id")).alias("hi"))
+    ends = sorted(((r["part"], r["lo"]["conv_id"], r["hi"]["conv_id"]) for r in ends.collect()), key=lambda r: r[0])  # a row for each partition
     split = {c for (_, _, hi), (_, lo, _) in zip(ends, ends[1:], strict=False) for c in [lo] if lo == hi}
 
     def whole(key, frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(["turn", "role", "tie"], kind="stable", na_position="last", key=lambda s: s.fillna("").map(lambda x: x.encode("utf-8", "surrogatepass")) if s.name == "role" else s)
+        f = frame.sort_values("at")
         roles = [role_number(r) for r in f["role"]]
         cost, back = solve(roles, START)
         rows = repaired(f["text"].tolist(), roles, path(back, best_exit(cost)), True)
         out = pd.DataFrame(rows, columns=["position", "role", "action", "inserted", "rendered"])
-        out.insert(0, "turn", f["turn"].astype("Int64").values)
-        out.insert(0, "conv_id", pd.array([key[1]] * len(f), "Int64") if key[1] == key[1] and key[1] is not None else pd.array([None] * len(f), "Int64"))
+        out.insert(0, "turn", f["turn"].values)
+        out.insert(0, "conv_id", f["conv_id"].values)
         return out
 
-    name = F.coalesce("conv_id", F.lit(-(1 << 62)))
-    held = t.where(~name.isin(*split)) if split else t
-    out = held.groupBy("part", "conv_id").applyInPandas(whole, OUT)
+    # Conversations of which a part stands elsewhere, at most one for each partition.
+    apart = F.coalesce(F.col("conv_id").isin(*(c for c in split if c is not None)), F.lit(None in split))
+    # Pandas has no integers beside nulls, so the two go through it as text.
+    t = t.withColumns({"apart": apart, "conv_id": F.col("conv_id").cast("string"), "turn": F.col("turn").cast("string")})
+    out = t.where("NOT apart").groupBy("part", "conv_id").applyInPandas(whole, OUT)
     if split:
-        out = out.unionByName(_split(t.where(name.isin(*split)), scratch))
-    return out
+        out = out.unionByName(_split(t.where("apart"), scratch))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
 
 
 def _split(t: DataFrame, scratch: Scratch) -> DataFrame:
     """The conversations that stand in several partitions: blocks of turns, solved for every state they may begin in."""
     block = 512
-    keys = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("tie")]
     from pyspark.sql import Window
 
     # A piece lies in one partition; its turns are numbered there and cut into blocks.
-    t = t.withColumn("seq", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(*keys)) - 1)
+    t = t.withColumn("seq", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy("at")) - 1)
     t = scratch.write(t.withColumn("block", F.floor(F.col("seq") / block)), "split")
 
     def costs(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -164,11 +165,11 @@ def _split(t: DataFrame, scratch: Scratch) -> DataFrame:
         starts = []
         for _, back in solved:
             starts.append([_started(roles, path(back, q)) if back[-1][q] >= 0 else 0 for q in range(4)])
-        return pd.DataFrame({"part": [key[0]], "conv_id": pd.array([None if key[1] != key[1] else key[1]], "Int64"), "block": [key[2]], "cost": [[c for x, _ in solved for c in x]], "starts": [[c for x in starts for c in x]]})
+        return pd.DataFrame({"part": [key[0]], "conv_id": [frame["conv_id"].iloc[0]], "block": [key[2]], "cost": [[c for x, _ in solved for c in x]], "starts": [[c for x in starts for c in x]]})
 
-    solved = t.groupBy("part", "conv_id", "block").applyInPandas(costs, "part int, conv_id long, block long, cost array<long>, starts array<long>")
+    solved = t.groupBy("part", "conv_id", "block").applyInPandas(costs, "part int, conv_id string, block long, cost array<long>, starts array<long>")
     # A row for each block of a split conversation; of a conversation, they are combined in order.
-    chosen = scratch.write(solved.groupBy("conv_id").applyInPandas(_choose, "part int, conv_id long, block long, entry int, leave int, last boolean, position long"), "chosen")
+    chosen = scratch.write(solved.groupBy("conv_id").applyInPandas(_choose, "part int, conv_id string, block long, entry int, leave int, last boolean, position long"), "chosen")
 
     def render(key, frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("seq")
@@ -176,8 +177,8 @@ def _split(t: DataFrame, scratch: Scratch) -> DataFrame:
         _, back = solve(roles, entry)
         rows = repaired(f["text"].tolist(), roles, path(back, leave), bool(f["last"].iloc[0]), int(f["position"].iloc[0]))
         out = pd.DataFrame(rows, columns=["position", "role", "action", "inserted", "rendered"])
-        out.insert(0, "turn", f["turn"].astype("Int64").values)
-        out.insert(0, "conv_id", f["conv_id"].astype("Int64").values)
+        out.insert(0, "turn", f["turn"].values)
+        out.insert(0, "conv_id", f["conv_id"].values)
         return out
 
     chosen = chosen.withColumnsRenamed({"part": "p", "conv_id": "c", "block": "b"})
@@ -204,4 +205,4 @@ def _choose(frame: pd.DataFrame) -> pd.DataFrame:
     states = path(back, best_exit(cost))
     starts = [int(x[4 * s + q]) for x, s, q in zip(f["starts"], states, states[1:], strict=False)]
     before = (pd.Series(starts).cumsum() - starts - 1).tolist()
-    return pd.DataFrame({"part": f["part"].values, "conv_id": f["conv_id"].astype("Int64").values, "block": f["block"].values, "entry": states[:-1], "leave": states[1:], "last": [i == len(f) - 1 for i in range(len(f))], "position": before})
+    return pd.DataFrame({"part": f["part"].values, "conv_id": f["conv_id"].values, "block": f["block"].values, "entry": states[:-1], "leave": states[1:], "last": [i == len(f) - 1 for i in range(len(f))], "position": before})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,24 +18,28 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; if it is unset, a local one, in local mode only."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tessella-"))
     return "file://" + _own[0]
 
 
 class Scratch:
-    """Tables in the shared folder that cut a job's lineage; a lost executor reads them again."""
+    """Tables in the shared folder that cut a job's lineage; a lost executor reads them again. They go when the application ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def size(self, name: str) -> int:
@@ -49,13 +54,31 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers get it in batches of at most 1000 rows, as texts may be long."""
+    """A table of the folder; a small `documents` is dealt out to all cores.
+
+    Sets the session's Arrow batches to at most 1000 rows, as texts may be long: the setting is read when a plan runs, not here.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if name == "documents" else df
 
 
+def id_text(df: DataFrame) -> Column:
+    """The id as text: pandas has no integers beside nulls, so ids go through Python as text."""
+    return df["doc_id"].cast("string").alias("doc_id")
+
+
+def id_again(out: DataFrame, df: DataFrame) -> DataFrame:
+    """out with its text ids in the type that they have in df."""
+    return out.withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType))
+
+
+def private(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

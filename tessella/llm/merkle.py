@@ -3,8 +3,8 @@
 A text is cut into paragraphs (lines) and each paragraph into leaves of up to four words (64
 characters of a word count as one). A leaf is hashed, a paragraph hashes its leaves, a section
 hashes up to eight neighbouring paragraphs and the root hashes the sections. The fingerprint is
-`root:sections:paragraphs:leaves` with shortened hashes below the root, so equal roots tell equal
-texts and differing branches tell where two texts differ.
+`root:sections:paragraphs:leaves` with hashes of 32 bits below the root, so equal roots tell equal
+texts and differing branches tell where two texts differ; it grows with the text, as the tree does.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import private, text_or_empty
 
+#: Hexadecimal digits of a hash below the root.
+DIGITS = 8
 LEAF = r"(?:[^\x09-\x0D\x20]{1,64}[\x09-\x0D\x20]*){1,4}|[\x09-\x0D\x20]+"
 SECTION = 8
 #: Ids that differ only in their lowest bits make a bucket; a bucket and its next document meet in one task.
@@ -24,17 +26,18 @@ GROUP_BITS = 12
 
 def with_fingerprint(df: DataFrame, text: str, fingerprint: str, leaves: str) -> DataFrame:
     """Adds the fingerprint of the column `text` and its distinct leaf hashes; a null counts as empty."""
+    lv, pv, sv = private("leaves"), private("paragraphs"), private("sections")
     para = F.split(text_or_empty(text), "\n")
-    df = df.withColumn("_l", F.transform(para, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), F.md5)))
-    df = df.withColumn("_p", F.transform("_l", lambda x: F.md5(F.array_join(x, ""))))
-    sections = F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / SECTION).cast("int"))
-    df = df.withColumn("_s", F.transform(sections, lambda i: F.md5(F.array_join(F.slice("_p", i * SECTION + 1, SECTION), ""))))
-    short = lambda xs, n: F.array_join(F.transform(xs, lambda x: F.substring(x, 1, n)), ".")
-    root = F.sha2(F.array_join("_s", "").cast("binary"), 256)
-    leaf_part = F.array_join(F.transform("_l", lambda x: short(x, 6)), "/")
-    df = df.withColumn(fingerprint, F.concat_ws(":", root, short("_s", 8), short("_p", 8), leaf_part))
-    df = df.withColumn(leaves, F.array_distinct(F.transform(F.flatten("_l"), lambda x: F.substring(x, 1, 6))))
-    return df.drop("_l", "_p", "_s")
+    df = df.withColumn(lv, F.transform(para, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), F.md5)))
+    df = df.withColumn(pv, F.transform(lv, lambda x: F.md5(F.array_join(x, ""))))
+    sections = F.sequence(F.lit(0), F.floor((F.size(pv) - 1) / SECTION).cast("int"))
+    df = df.withColumn(sv, F.transform(sections, lambda i: F.md5(F.array_join(F.slice(pv, i * SECTION + 1, SECTION), ""))))
+    short = lambda xs: F.array_join(F.transform(xs, lambda x: F.substring(x, 1, DIGITS)), ".")
+    root = F.sha2(F.array_join(sv, "").cast("binary"), 256)
+    leaf_part = F.array_join(F.transform(lv, short), "/")
+    df = df.withColumn(fingerprint, F.concat_ws(":", root, short(sv), short(pv), leaf_part))
+    df = df.withColumn(leaves, F.array_distinct(F.transform(F.flatten(lv), lambda x: F.substring(x, 1, DIGITS))))
+    return df.drop(lv, pv, sv)
 
 
 def leaves_of(fingerprint: str | Column) -> Column:
@@ -49,18 +52,27 @@ def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column)
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """0-based numbers of the paragraphs in which two fingerprints differ, found below differing sections."""
+    """struct(removed, added): 0-based numbers of a's paragraphs that b hasn't and of b's that a hasn't, top down.
+
+    Equal roots end the search, so do sections that stand in both; below the others, paragraphs are
+    matched by their hashes wherever they stand, so an inserted one doesn't mark those behind it.
+    """
     part = lambda f, i: F.split(F.split(f, ":")[i], "\\.")
-    sa, sb, pa, pb = part(a, 1), part(b, 1), part(a, 2), part(b, 2)
-    n = F.greatest(F.size(sa), F.size(sb))
-    open_ = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(sa, i).eqNullSafe(F.get(sb, i)))
-    within = F.flatten(F.transform(open_, lambda i: F.sequence(i * SECTION, i * SECTION + SECTION - 1)))
-    return F.filter(within, lambda i: ~F.get(pa, i).eqNullSafe(F.get(pb, i)))
+
+    def only(x: Column, y: Column) -> Column:
+        sections, paragraphs = part(x, 1), part(x, 2)
+        open_ = F.filter(F.sequence(F.lit(0), F.size(sections) - 1), lambda i: ~F.array_contains(part(y, 1), F.get(sections, i)))
+        within = F.flatten(F.transform(open_, lambda i: F.sequence(i * SECTION, F.least(i * SECTION + SECTION, F.size(paragraphs)) - 1)))
+        return F.filter(within, lambda i: ~F.array_contains(part(y, 2), F.get(paragraphs, i)))
+
+    same, none = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<int>")
+    return F.struct(F.when(same, none).otherwise(only(a, b)).alias("removed"), F.when(same, none).otherwise(only(b, a)).alias("added"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """Every row of docs, its columns kept, and `fingerprint`."""
-    return with_fingerprint(docs, "text", "fingerprint", "_leaves").drop("_leaves")
+    """Every row of docs, its columns kept, and `fingerprint`, which replaces a column of that name."""
+    leaves = private("leaves")
+    return with_fingerprint(docs, "text", "fingerprint", leaves).drop(leaves)
 
 
 def _guests(d: DataFrame) -> DataFrame:
@@ -83,18 +95,20 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
     The edited text's last floor(n_chars / 2) code points are the first as many of the next
     document, in ascending (doc_id, text) order, after the last the first one; a lone document is its
-    own next. Rows with a null id come last in that order, as one group. Null texts are empty.
+    own next. A row with a null id has no place in that order and is its own next. Null texts are
+    empty. Ids are integers.
     """
     from pyspark.sql import Window
 
-    none = 1 << 60  # above every bucket of an id
-    d = docs.select("doc_id", text_or_empty("text").alias("text"))
-    d = d.withColumn("bucket", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BUCKET_BITS), F.lit(none)))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    lone = with_fingerprint(d.where("doc_id IS NULL"), "text", "fingerprint", "leaves").withColumn("next", F.struct("text", "fingerprint", "leaves"))
+    d = d.where("doc_id IS NOT NULL").withColumn("bucket", F.shiftright("doc_id", BUCKET_BITS))
     # A bucket's first row is also a guest at the end of the bucket before.
     rows = d.withColumn("guest", F.lit(False)).unionByName(_guests(d).withColumn("guest", F.lit(True)))
     rows = with_fingerprint(rows.repartition("bucket"), "text", "fingerprint", "leaves")
     w = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
     rows = rows.withColumn("next", F.lead(F.struct("text", "fingerprint", "leaves")).over(w)).where(~F.col("guest"))
+    rows = rows.select(*lone.columns).unionByName(lone)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
@@ -111,16 +125,17 @@ def _sql_tree(of: str, name: str) -> str:
 {name}_p AS (SELECT *, list_transform(l, lambda x: md5(array_to_string(x, ''))) AS p FROM {name}_l),
 {name}_s AS (SELECT *, list_transform(range(0, (len(p) - 1) // {SECTION} + 1), lambda i: md5(array_to_string(p[i * {SECTION} + 1:i * {SECTION} + {SECTION}], ''))) AS s FROM {name}_p),
 {name} AS (SELECT * EXCLUDE (l, p, s), sha256(array_to_string(s, '')) AS root,
-  concat_ws(':', sha256(array_to_string(s, '')), array_to_string(list_transform(s, lambda x: x[1:8]), '.'), array_to_string(list_transform(p, lambda x: x[1:8]), '.'),
-            array_to_string(list_transform(l, lambda x: array_to_string(list_transform(x, lambda y: y[1:6]), '.')), '/')) AS fp,
-  list_distinct(list_transform(flatten(l), lambda x: x[1:6])) AS leaves FROM {name}_s)"""
+  concat_ws(':', sha256(array_to_string(s, '')), array_to_string(list_transform(s, lambda x: x[1:{DIGITS}]), '.'), array_to_string(list_transform(p, lambda x: x[1:{DIGITS}]), '.'),
+            array_to_string(list_transform(l, lambda x: array_to_string(list_transform(x, lambda y: y[1:{DIGITS}]), '.')), '/')) AS fp,
+  list_distinct(list_transform(flatten(l), lambda x: x[1:{DIGITS}])) AS leaves FROM {name}_s)"""
 
 
 REPORT_SQL = (
-    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),"
+    "WITH d AS (SELECT doc_id, text, CASE WHEN doc_id IS NULL THEN -r ELSE r END AS r, CASE WHEN doc_id IS NULL THEN -r ELSE r % n + 1 END AS nr"
+    + " FROM (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY doc_id IS NULL ORDER BY doc_id, coalesce(text, '')) AS r, count(doc_id) OVER () AS n FROM documents)),"
     + _sql_tree("text", "a").replace("SRC", "d")
     + ", e AS (SELECT a.doc_id, a.text, a.root, a.fp, a.leaves, b.root AS nroot, b.leaves AS nleaves, left(a.text, (length(a.text) - length(a.text) // 2)::BIGINT) || left(b.text, (length(a.text) // 2)::BIGINT) AS edited"
-    + " FROM a JOIN a b ON b.r = a.r % a.n + 1),"
+    + " FROM a JOIN a b ON b.r = a.nr),"
     + _sql_tree("edited", "t").replace("SRC", "(SELECT doc_id, text, edited, nroot, nleaves, root AS aroot, fp AS afp, leaves AS aleaves FROM e)")
     + """
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, afp AS fingerprint, fp AS edited_fingerprint,

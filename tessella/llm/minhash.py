@@ -18,8 +18,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import Scratch
+from .common import Scratch, id_again, id_text, private
 from .components import components
 
 BANDS, ROWS = 40, 6
@@ -86,7 +87,7 @@ def _signed(words: int):
                 s = shingle_set(text, words)
                 name = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 rows.append((key, len(s), name, bands(signature(s)) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -156,10 +157,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links. Rows of equal ids are one node of the graph. A row with a null id links with nothing;
     its component is null and it is kept. At 0.8 a pair shares no band once in 190,000 times.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer: components are named by the smallest one")
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = docs.select("doc_id", "text")
-    signed = scratch.write(docs.mapInPandas(_signed(words), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = docs.select(id_text(docs), "text").mapInPandas(_signed(words), "doc_id string, n_shingles long, set_key binary, bands array<long>")
+    signed = scratch.write(id_again(signed, docs), "signed")
     own = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Equal sets are one node, named by the least id; copies go no further.
     reps = scratch.write(own.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
@@ -210,9 +214,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept: one document of each group of near copies, with all its columns."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each group of near copies, with all its columns: the one of the smallest doc_id, null ids last.
+
+    Rows are told apart even if they share an id or have none. Texts without words are no copies of each other; all stay.
+    """
+    key, id_ = private("row"), private("id")
+    ids = docs.select("doc_id").groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if not ids.head(1):  # each id names a row
+        kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias(id_))
+        return docs.join(kept, F.col("doc_id") == F.col(id_), "left_semi")
+    rows = Scratch(docs.sparkSession, "dedup").write(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    group = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(id_), "component_id")
+    own = rows.select(key, "doc_id").join(group, F.col(key) == F.col(id_))
+    first = own.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{key}").alias(id_)), F.col(key) == F.col(id_), "left_semi").drop(key)
 
 
 REPORT_SQL = r"""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import id_again, id_text, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS, "secret")
@@ -336,15 +336,15 @@ def _report(model):
                 base, both = find(text, tagger)
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((key, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(both)))
-            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return run
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): base counts and digest, and all spans. Null texts are empty, empty texts have no spans."""
-    d = docs.select("doc_id", text_or_empty("text").alias("text"))
-    return d.mapInPandas(_report(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    d = docs.select(id_text(docs), text_or_empty("text").alias("text"))
+    return id_again(d.mapInPandas(_report(train()), "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"), docs)
 
 
 def _mask(text: str, spans) -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc_mod, text_or_empty
+from .common import Scratch, id_again, id_crc_mod, id_text, text_or_empty
 
 #: The most labelled rows that are fitted; of more, those whose ids hash lowest.
 MOST_LABELLED = 20_000
@@ -48,18 +48,27 @@ def statistics(text: str) -> np.ndarray:
     return np.array([np.log1p(n), np.log1p(count), np.log1p(len(lines)), *np.sqrt(kinds[1:]), n / count / 10, distinct / count, top[0][1] / count if top else 0, sum(c for _, c in top) / count, max(0, doubled - 2) / count, 1 - len(set(lines)) / line_words, np.log1p(n / line_words), upper, np.sqrt(upper), tails, np.sqrt(tails), heads, long, short, letters, kinds[1] / max(1e-9, letters)])
 
 
+def _pooled(blocks: np.ndarray) -> np.ndarray:
+    """Rows (sum of scores, sum of labels, weight) of ascending scores, neighbours joined until the rates ascend."""
+    out: list[np.ndarray] = []
+    for block in blocks:
+        out.append(block)
+        while len(out) > 1 and out[-2][1] / out[-2][2] >= out[-1][1] / out[-1][2]:
+            out[-2:] = [out[-2] + out[-1]]
+    return np.array(out)
+
+
 def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: (scores, rates) of the blocks' centres, both ascending. Equal scores share a block."""
+    """Pool-adjacent-violators: (scores, rates) of the blocks' centres, both ascending. Equal scores share a block.
+
+    Half a row of the mean label joins each block, so that no rate is 0 or 1; blocks that this puts out of order are pooled again.
+    """
     names, inverse = np.unique(scores, return_inverse=True)
     sums, weights = np.bincount(inverse, labels), np.bincount(inverse).astype(float)
-    blocks: list[list[float]] = []
-    for x, s, w in zip(names * weights, sums, weights, strict=True):
-        blocks.append([x, s, w])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    b = np.array(blocks)
-    return b[:, 0] / b[:, 2], (b[:, 1] + 0.5 * labels.mean()) / (b[:, 2] + 0.5)
+    b = _pooled(np.column_stack([names * weights, sums, weights]))
+    more = b[:, 2] + 0.5
+    b = _pooled(np.column_stack([b[:, 0] / b[:, 2] * more, b[:, 1] + 0.5 * labels.mean(), more]))
+    return b[:, 0] / b[:, 2], b[:, 1] / b[:, 2]
 
 
 @dataclass
@@ -100,7 +109,10 @@ def equations(mean: np.ndarray, scale: np.ndarray):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, held_out: int, most: int) -> DataFrame:
-    """(doc_id, text, y, fold) of the rows to learn from: labels 0 or 1 outside the held-out part, at most `most`, broadcast as ids."""
+    """(doc_id, text, y, fold) of the rows to learn from: labels 0 or 1 outside the held-out part, at most `most` ids, broadcast.
+
+    Of an id's several labels the highest counts.
+    """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (id_crc_mod("doc_id", mod) != held_out))
     rows = rows.groupBy("doc_id").agg(F.max(column).cast("double").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -115,16 +127,19 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int
 
     def stats(frames):
         for f in frames:
-            yield pd.DataFrame({"x": [statistics(t) for t in f["text"]], "y": f["y"], "fold": f["fold"]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "x": [statistics(t) for t in f["text"]], "y": f["y"], "fold": f["fold"]})
 
-    rows = labelled(docs, labels, column, mod, held_out, most).mapInPandas(stats, "x array<double>, y double, fold int")
-    rows = scratch.write(rows.coalesce(8), "rows")
+    rows = labelled(docs, labels, column, mod, held_out, most).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = rows.mapInPandas(stats, "doc_id string, x array<double>, y double, fold int")
+    # One row for each id, so that `most` bounds the rows: of repeated ids the least statistics.
+    rows = scratch.write(rows.groupBy("doc_id").agg(F.min(F.struct("x", "y", "fold")).alias("r")).select("r.*"), "rows")
     got = rows.toPandas()  # at most `most` rows of some thirty numbers
     size = len(statistics(""))
     x, y, fold = np.array(got["x"].to_list(), float).reshape(-1, size), got["y"].to_numpy(float), got["fold"].to_numpy()
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size), np.ones(size), np.zeros(FEATURES + 1), np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.5]))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    # At most `most` rows of numbers, so few tasks do, and few sums come to the driver.
     sums = rows.coalesce(4).mapInPandas(equations(mean, scale), "fold int, a binary, b binary").toPandas()
     size = FEATURES + 1
     a, b = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size))
@@ -144,7 +159,7 @@ def _scored(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = np.array([statistics(t) for t in f["text"]]).reshape(len(f), -1)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "score": model.score(x) if len(f) else []})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": model.score(x) if len(f) else []})
 
     return run
 
@@ -152,8 +167,8 @@ def _scored(model: Model):
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Per row of docs (doc_id, text): held_out, score and predicted. Null and empty texts are scored by their statistics, all zero."""
     model = train(docs, labels)
-    d = docs.select("doc_id", text_or_empty("text").alias("text"), (id_crc_mod("doc_id", 4) == 2).alias("held_out"))
-    out = d.mapInPandas(_scored(model), "doc_id long, held_out boolean, score double")
+    d = docs.select(id_text(docs), text_or_empty("text").alias("text"), (id_crc_mod("doc_id", 4) == 2).alias("held_out"))
+    out = id_again(d.mapInPandas(_scored(model), "doc_id string, held_out boolean, score double"), docs)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_crc_mod, text_or_empty
+from .common import Scratch, id_again, id_crc_mod, id_text, text_or_empty
 
 #: At most so many documents of each label are fitted, with all windows of each.
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
@@ -339,7 +339,10 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2) -> Network:
-    """The network of at most MOST_TOXIC and MOST_CLEAN labelled documents outside the held-out part, those whose ids hash lowest."""
+    """The network of at most MOST_TOXIC and MOST_CLEAN labelled documents outside the held-out part, those whose ids hash lowest.
+
+    Of an id's several labels the highest counts.
+    """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (id_crc_mod("doc_id", mod) != held_out))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     first = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -347,8 +350,9 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2) ->
 
     scratch = Scratch(docs.sparkSession, "toxicity")
     d = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # Texts of one id and their order don't matter: a document's draws depend on its id and text.
-    d = scratch.write(d.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text")), "fitted")
+    # One text for each id, the least, so that the two bounds hold for the rows.
+    d = d.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    d = scratch.write(d.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2, "doc_id").withColumn("key", F.xxhash64("doc_id", "text")), "fitted")
 
     def measured(frames):
         total = np.zeros((2, 2, TABLE))
@@ -395,7 +399,7 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(net)
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "score": scorer.scores(f["text"].tolist())})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": scorer.scores(f["text"].tolist())})
 
-    d = docs.select("doc_id", text_or_empty("text").alias("text"), (id_crc_mod("doc_id", 4) == 2).alias("held_out"))
-    return d.mapInPandas(scored, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    d = docs.select(id_text(docs), text_or_empty("text").alias("text"), (id_crc_mod("doc_id", 4) == 2).alias("held_out"))
+    return id_again(d.mapInPandas(scored, "doc_id string, held_out boolean, score double"), docs).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import private, text_or_empty
 
 #: All that is not a word character once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,13 +39,13 @@ def _join(words: Column, start: Column, length: Column | int) -> Column:
 
 def fingerprints(df: DataFrame, words: str, ngram: int, k: int, out: str = "prints") -> DataFrame:
     """Adds `out`: the distinct fingerprints of `words`, packed as hash and place."""
-    window = ngram - k + 1
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    gram = lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(k)])
+    window, h, g = ngram - k + 1, private("hashes"), private("grams")
+    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(w)))
+    gram = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)])
     packed = lambda i: F.shiftleft(F.shiftrightunsigned(gram(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
-    df = df.withColumn("_g", F.transform(_steps(F.size("_h") - (k - 1)), packed))
-    least = F.transform(_steps(F.size("_g") - (window - 1)), lambda i: F.array_min(F.slice("_g", i + 1, window)))
-    return df.withColumn(out, F.array_distinct(least)).drop("_h", "_g")
+    df = df.withColumn(g, F.transform(_steps(F.size(h) - (k - 1)), packed))
+    least = F.transform(_steps(F.size(g) - (window - 1)), lambda i: F.array_min(F.slice(g, i + 1, window)))
+    return df.withColumn(out, F.array_distinct(least)).drop(h, g)
 
 
 def item_windows(bench: DataFrame, ngram: int, k: int) -> DataFrame:
@@ -68,13 +68,13 @@ def item_windows(bench: DataFrame, ngram: int, k: int) -> DataFrame:
 def hits(docs: DataFrame, bench: DataFrame, ngram: int = 13, k: int = 5) -> DataFrame:
     """Every document with `n_words` and `found`: its distinct (start, length, item_id) that equal an item's window.
 
-    docs has doc_id and text, bench item_id and text; other columns of docs stay, whatever their names.
-    Null and empty texts have no words and no hits. Equal ids are told apart by their own texts.
+    docs has doc_id and text, bench item_id and text; other columns of docs stay, but for those named as the added ones.
+    Null and empty texts have no words and no hits. Rows of equal or null ids are told apart by their texts.
     """
     windows = item_windows(bench, ngram, k)
     # Only lengths below ngram: at most ngram - 1 values.
     short = sorted(r[0] for r in windows.where(F.col("length") < ngram).select("length").distinct().collect())
-    d = docs.select("doc_id", words_of("text").alias("words"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("own"), words_of("text").alias("words"))
     d = fingerprints(d, "words", ngram, k)
     mask = F.lit((1 << PLACE_BITS) - 1)
     marks = F.transform("prints", lambda p: F.struct(F.shiftrightunsigned(p, PLACE_BITS).alias("gram"), F.lit(ngram).alias("length"), p.bitwiseAND(mask).cast("int").alias("place")))
@@ -86,17 +86,18 @@ def hits(docs: DataFrame, bench: DataFrame, ngram: int = 13, k: int = 5) -> Data
     for m in short:
         marks = F.concat(marks, whole(m))
     # An inner explode would make Spark test the array's size below, by working it out again in full.
-    met = d.select("doc_id", F.explode_outer(marks).alias("m")).where("m IS NOT NULL").select("doc_id", "m.*").join(windows, ["gram", "length"])
-    met = met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct((F.col("place") - F.col("shift")).alias("start"), "length", "window", "item_id")).alias("_c"))
-    out = docs.join(met, docs["doc_id"].eqNullSafe(met["_id"]), "left").drop("_id").withColumn("_w", words_of(docs["text"]))
-    n = F.size("_w")
+    met = d.select("doc_id", "own", F.explode_outer(marks).alias("m")).where("m IS NOT NULL").select("doc_id", "own", "m.*").join(windows, ["gram", "length"])
+    id_, own, near, words = (private(x) for x in ("id", "own", "near", "words"))
+    met = met.groupBy(F.col("doc_id").alias(id_), F.col("own").alias(own)).agg(F.collect_set(F.struct((F.col("place") - F.col("shift")).alias("start"), "length", "window", "item_id")).alias(near))
+    out = docs.join(met, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(own)), "left").drop(id_, own).withColumn(words, words_of(docs["text"]))
+    n = F.size(words)
     # A text of over 2**24 words is tried at every place that has the same low bits.
-    turns = F.transform(F.sequence(F.lit(0), F.shiftright(n, PLACE_BITS)), lambda t: F.transform("_c", lambda c: c.withField("start", c["start"] + F.shiftleft(t, PLACE_BITS))))
-    tried = F.when(n < 1 << PLACE_BITS, F.col("_c")).otherwise(F.flatten(turns))
-    equal = lambda c: (c["start"] >= 0) & (c["start"] + c["length"] <= n) & (_join(F.col("_w"), c["start"], c["length"]) == c["window"])
+    turns = F.transform(F.sequence(F.lit(0), F.shiftright(n, PLACE_BITS)), lambda t: F.transform(near, lambda c: c.withField("start", c["start"] + F.shiftleft(t, PLACE_BITS))))
+    tried = F.when(n < 1 << PLACE_BITS, F.col(near)).otherwise(F.flatten(turns))
+    equal = lambda c: (c["start"] >= 0) & (c["start"] + c["length"] <= n) & (_join(F.col(words), c["start"], c["length"]) == c["window"])
     found = F.transform(F.filter(tried, equal), lambda c: F.struct(c["start"], c["length"], c["item_id"]))
-    found = F.when(F.col("_c").isNull(), F.array().cast(f"array<struct<start:int,length:int,item_id:{bench.schema['item_id'].dataType.simpleString()}>>")).otherwise(F.array_sort(found))
-    return out.withColumns({"n_words": n.cast("long"), "found": found}).drop("_c", "_w")
+    found = F.when(F.col(near).isNull(), F.array().cast(f"array<struct<start:int,length:int,item_id:{bench.schema['item_id'].dataType.simpleString()}>>")).otherwise(F.array_sort(found))
+    return out.withColumns({"n_words": n.cast("long"), "found": found}).drop(near, words)
 
 
 def covered(found: str | Column) -> Column:
@@ -114,6 +115,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, ngram: int = 13, k: int = 5
     """Every row of docs with n_words, found, n_hit, items and contaminated (share * n_hit >= n_words, and any hit).
 
     Null or empty texts: no words, not contaminated. An empty benchmark contaminates nothing.
+    Columns of docs that are named as these are replaced.
     """
     out = hits(docs, bench, ngram, k).withColumn("n_hit", covered("found"))
     out = out.withColumn("items", F.array_sort(F.array_distinct(F.transform("found", lambda s: s["item_id"].cast("string")))))

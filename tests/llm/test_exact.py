@@ -50,6 +50,11 @@ def test_packing(width):
     assert [bitpack.width_of(v) for v in (1, 2, 3, 50_257, 65_536, 65_537)] == [1, 1, 2, 16, 16, 17]
 
 
+def test_wide_ids():
+    with pytest.raises(ValueError, match="bits"):
+        bitpack.pack(np.array([8], "<u4"), 3)
+
+
 def test_encoder(model):
     e = bitpack.CachedEncoder(model)
     e.spaced.most = 20
@@ -58,8 +63,8 @@ def test_encoder(model):
 
 
 def test_token_files(spark, model, odd, none):
-    t = Tokenizer.from_str(model)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "<|endoftext|> hi"), (21, "a<|endoftext|>b c\n<|endoftext|>")], "doc_id long, text string"))
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     want, at = [], 0
     for key, text in rows:
@@ -121,7 +126,11 @@ def test_merkle(spark, odd, none):
     other = text.replace("paragraph 17 has", "paragraph 17 had")
     rows = merkle.fingerprint(spark.createDataFrame([(0, text), (1, other)], "doc_id long, text string")).orderBy("doc_id").collect()
     both = spark.createDataFrame([(rows[0]["fingerprint"], rows[1]["fingerprint"])], "a string, b string")
-    assert both.select(merkle.differing_paragraphs(both["a"], both["b"]).alias("x")).first()["x"] == [17]
+    assert both.select(merkle.differing_paragraphs(both["a"], both["b"]).alias("x")).first()["x"] == ([17], [17])
+    longer = "\n".join([*text.split("\n")[:5], "one more", *text.split("\n")[5:]])
+    row = merkle.fingerprint(spark.createDataFrame([(0, longer)], "doc_id long, text string")).first()
+    both = spark.createDataFrame([(rows[0]["fingerprint"], row["fingerprint"])], "a string, b string")
+    assert both.select(merkle.differing_paragraphs(both["a"], both["b"]).alias("x"), merkle.differing_paragraphs(both["a"], both["a"]).alias("y")).first()[:] == (([], [5]), ([], []))
     got = merkle.edit_report(odd).collect()
     assert len(got) == odd.count() and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert merkle.edit_report(none).count() == 0
@@ -184,3 +193,27 @@ def test_viterbi_is_the_best_path():
         best = max(np.ndindex(*[k] * 5), key=lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(tagger.moves[a, b] for a, b in zip(p, p[1:], strict=False)))
         value = lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(tagger.moves[a, b] for a, b in zip(p, p[1:], strict=False))
         assert abs(value(got) - value(best)) < 1e-9
+
+
+def test_ids_and_columns_stay(spark, odd):
+    from tessella.llm import minhash, quality, suffix_tree, toxicity
+
+    want = sorted(str(r["doc_id"]) for r in odd.collect())
+    labels = odd.select("doc_id").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    reports = {
+        "op1": minhash.near_duplicates(odd, 2, 80), "op2": quality.report(odd, labels), "op5": suffix_tree.score(odd), "op6": merkle.edit_report(odd),
+        "op7": toxicity.report(odd, labels), "op8": pii.report(odd), "op9": bitpack.report(odd, model, 2, 50_257), "op10": winnow.report(odd, spark.createDataFrame([(1, "a b c")], "item_id int, text string")),
+    }
+    for name, out in reports.items():
+        assert sorted(str(r["doc_id"]) for r in out.select("doc_id").collect()) == want, name
+    named = odd.withColumnRenamed("doc_id", "conv_id").selectExpr("conv_id", "conv_id AS turn", "'user' AS role", "text")
+    from tessella.llm import chat
+
+    assert sorted(str(r["turn"]) for r in chat.format_chats(named).collect()) == want
+    found = winnow.decontaminate(odd, spark.createDataFrame([(1, "are told apart")], "item_id int, text string"))
+    assert {*odd.columns} <= {*found.columns} and found.where("contaminated").count() == 1
+    assert {r["_c"] for r in found.collect()} == {"_c"}
+    printed = merkle.fingerprint(odd)
+    assert printed.columns == [*odd.columns, "fingerprint"] and {(r["_l"], r["_leaves"]) for r in printed.collect()} == {("_l", "_leaves")}

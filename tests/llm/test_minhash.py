@@ -70,9 +70,19 @@ def test_odd(odd, none):
     assert by[None]["component_id"] is None and by[None]["kept"]
     assert M.near_duplicates(none, 2, 80).count() == 0
     kept = M.dedup(odd, 2, 80)
+    assert {r["doc_id"] for r in rows} >= {(1 << 60) + 1, (1 << 60) + 3}
     assert kept.columns == odd.columns and {4, 6}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_dedup_of_repeated_rows(spark):
+    same, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, same, 0), (1, same, 1), (1, same, 2), (1, other, 3), (2, other, 4), (None, same, 5), (None, other, 6), (None, "x y z", 7), (None, "x y z", 8), (9, "", 9), (9, "", 10)]
+    kept = M.dedup(spark.createDataFrame(rows, "doc_id long, text string, n int"), 2, 80).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "x y z"), (1, same), (1, other), (9, ""), (9, "")]
+    with pytest.raises(TypeError, match="integer"):
+        M.near_duplicates(spark.createDataFrame([("a", same)], "doc_id string, text string"))
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(i, i + 1) for i in range(0, 300)] + [(random.randrange(400, 500), random.randrange(400, 500)) for _ in range(80)]

@@ -56,10 +56,33 @@ def test_isotonic():
     x = rng.random(500)
     y = (rng.random(500) < x**2).astype(float)
     at, rate = quality.isotonic(x, y)
-    assert (np.diff(at) > 0).all() and (np.diff(rate) >= -1e-3).all()
+    assert (np.diff(at) > 0).all() and (np.diff(rate) >= 0).all() and 0 < rate[0] and rate[-1] < 1
     assert len(quality.isotonic(np.array([1.0, 1.0, 2.0]), np.array([1.0, 0.0, 0.0]))[0]) == 1
 
 
+def test_isotonic_blocks_stay_in_order():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(2, 60))
+        at, rate = quality.isotonic(rng.integers(0, 20, n).astype(float), rng.integers(0, 2, n).astype(float))
+        assert (np.diff(at) > 0).all() and (np.diff(rate) >= 0).all()
+
+
+def test_ridge_is_the_direct_solution(labelled):
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    rows = [(quality.statistics(r["text"] or ""), label[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in label and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    z = quality.features(x, model.mean, model.scale)
+    ridge = quality.RIDGE * len(y) * np.eye(z.shape[1]) / quality.FEATURES
+    ridge[-1, -1] = 1e-9
+    # As least squares over the rows and the square root of the penalty.
+    direct = np.linalg.lstsq(np.vstack([z, np.sqrt(ridge)]), np.r_[y, np.zeros(len(ridge))], rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ direct, atol=1e-5)
+
+
 def test_gradients():
     rng, net = np.random.default_rng(0), toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -31,7 +31,7 @@ def test_stages(spark, sf):
 
 
 def test_run_and_edges(spark, odd, sf):
-    assert C.run(spark, sf).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"]
+    assert C.run(spark, sf).columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256"]
     for _, stage in C.STAGES:
         stage(spark, odd, sf).count()
         assert stage(spark, odd.where("false"), sf).count() == 0
