@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, minhash, pii, quality, winnow
-from tessella.llm.common import Scratch, table
+from tessella.llm.common import Scratch, private, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in spans of 13 words from the benchmark."""
-    found = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    own = {c: private(c) for c in docs.columns if c not in ("doc_id", "text")}  # none that the operator would replace
+    found = winnow.decontaminate(docs.withColumnsRenamed(own), table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +37,15 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' token ids, their number, and the digest of the text that they decode to."""
+    """All documents with token ids for their text, the ids' number, and the digest of the text that they decode to.
+
+    The other columns stay, but for those named n_tokens, ids and decoded_sha256, which are replaced.
+    """
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         codec = bpe.Codec.of(bpe.parse_ranks(f.read()), public_tokenizers.PATTERN)
-    out = codec.encode(docs.select("doc_id", "lang", "source", "text"), "text", "ids", most=200_000)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"))
+    added = ("n_tokens", "ids", "decoded_sha256")
+    out = codec.encode(docs.drop(*added), "text", "ids", most=200_000)
+    return out.select(*(c for c in docs.columns if c not in ("text", *added)), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", good_quality), ("near duplicates", one_of_each), ("decontamination", uncontaminated), ("personal data", redacted), ("token ids", encoded)]
