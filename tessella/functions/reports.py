@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 SPARK_LEVELS = "▁▂▃▄▅▆▇█"
 VERDICTS = ((0.80, "excellent"), (1.00, "strong"), (1.20, "good"), (1.50, "fair"))
 NEXT_STEPS = ((1.5, "basics"), (1.2, "schedule"), (1.0, "architecture"))
-BPB_PATTERN, DELTA_PATTERN = r"\[val_bpb=([0-9.]+)\]", r"\[Δ=([+-]?[0-9.]+)\]"
-CHANGE_PATTERN, HYPOTHESIS_PATTERN = r"\[change:\s*([^\]]+)\]", r"\[hypothesis:\s*([^\]]+)\]"
+BPB_PATTERN, DELTA_PATTERN = r"val_bpb=(\d+\.\d+)", r"Δ=([+-]?\d+\.\d+)"
+CHANGE_PATTERN, HYPOTHESIS_PATTERN = r"\[change: ([^\]]+)\]", r"\[hypothesis: ([^\]]+)\]"
+TAGGED_BLOCK, ANY_BLOCK = r"```python\s*\n(.*?)```", r"```\s*\n(.*?)```"
+CODE_MARKS = ("import torch", "def ")
+SUMMARY_PATTERNS = (
+    r"(?:Change|Modification|Change I'm making|Proposed change)[:\s]+(.{20,100})",
+    r"(?:I'm|I am|Will) (?:changing|modifying|setting|trying|increasing|decreasing)\s+(.{15,80})",
+)
 
 
 def first_group(text: Column, pattern: str) -> Column:
@@ -49,14 +55,72 @@ def shortened(text: Column, most: int = 45) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at the ends, of any script."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def code_block(text: Column) -> Column:
-    """The last fenced Python block, else the last fenced block, else null."""
-    return F.coalesce(last_group(text, r"(?s)```python\s*\n(.*?)```"), last_group(text, r"(?s)```\s*\n(.*?)```"))
+    """The last fenced Python block without white space at its ends; without one, the last fenced block if it looks like code, else null."""
+    any_ = stripped(last_group(text, "(?s)" + ANY_BLOCK))
+    looks = F.lit(False)
+    for mark in CODE_MARKS:
+        looks = looks | any_.contains(mark)
+    return F.coalesce(stripped(last_group(text, "(?s)" + TAGGED_BLOCK)), F.when(looks, any_))
+
+
+def change_summary(text: Column, otherwise: str = "see response log") -> Column:
+    """One line about a change: what a pattern finds, without white space and full stops at its end.
+
+    Else the last line before the code that is longer than 20 characters, its first 80; else `otherwise`.
+    """
+    found = [F.rtrim(stripped(first_group(text, "(?i)" + p)), F.lit(".")) for p in SUMMARY_PATTERNS]
+    before = F.substring_index(text, "```python", 1)
+    lines = F.filter(F.transform(F.split(before, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), stripped), lambda x: F.length(x) > 20)
+    return F.coalesce(*found, F.substring(F.try_element_at(lines, F.lit(-1)), 1, 80), F.lit(otherwise))
 
 
 def metric(text: Column, name: str) -> Column:
-    """The value of the last `name: value` line of a run's output."""
-    return number(last_group(text, rf"(?m)^{name}:\s+(\S+)"))
+    """The last decimal number behind `name:` anywhere in a run's output."""
+    return number(last_group(text, rf"{name}:\s+(\d+\.\d+)"))
+
+
+def last_lines(text: Column, most: int = 20) -> Column:
+    """The last lines of a text without white space at its ends."""
+    lines = F.split(stripped(text), "\n")
+    return F.array_join(F.slice(lines, F.greatest(F.lit(1), F.size(lines) - (most - 1)), F.lit(most)), "\n")
+
+
+def run_log(stdout: Column, stderr: Column) -> Column:
+    """Both streams of a run, one after the other; a missing one is empty."""
+    return F.concat(F.coalesce(stdout, F.lit("")), F.coalesce(stderr, F.lit("")))
+
+
+def numeric_suffix(name: Column) -> Column:
+    """The number at a name's end, null without one."""
+    return F.nullif(F.regexp_extract(name, r"(\d+)$", 1), F.lit("")).try_cast("long")
+
+
+def shard_file(number_: Column) -> Column:
+    return F.format_string("shard_%05d.parquet", number_)
+
+
+def commit_subject(val_bpb: Column, before: Column, change: Column, number_: Column) -> Column:
+    """The subject that parse_log reads: value, signed difference, the change's first 60 characters, the experiment."""
+    return F.format_string("[val_bpb=%.4f] [Δ=%+.4f] [change: %s] [exp: %d]", val_bpb, val_bpb - before, F.substring(change, 1, 60), number_)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def momentum(step: Column, warmup: int = 300, first: float = 0.85, last: float = 0.95) -> Column:
+    part = F.least(step / warmup, F.lit(1.0))
+    return (1 - part) * first + part * last
+
+
+def weight_decay(progress: Column, start: float) -> Column:
+    return start * (1 - progress)
 
 
 def improvement_percent(first: Column, best: Column) -> Column:

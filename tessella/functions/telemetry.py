@@ -47,5 +47,10 @@ def attributes(line: Column) -> Column:
     return F.map_from_entries(F.transform(first, lambda p: F.struct(F.substring_index(p, "=", 1), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p)))))
 
 
+def attribute(attrs: Column, name: str, otherwise: str) -> Column:
+    """The value of a name, or `otherwise`."""
+    return F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit(otherwise))
+
+
 def has_anomaly_keyword(token: Column) -> Column:
     return token.rlike("|".join(ANOMALY_KEYWORDS))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import exists, read_vocabulary, write_vocabulary
+
 # Letters with one sign before, digits by one or two, signs with line ends, white space; and the special tokens.
 SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 SPECIAL_TOKENS = tuple(f"<|reserved_{i}|>" for i in range(4))
@@ -79,6 +81,15 @@ def train_vocabulary(docs: DataFrame, size: int = 8192, doc_cap: int | None = 10
     return learn_merges(list(zip(map(bytes, words["token"]), words["n"].tolist(), strict=True)), size - len(SPECIAL_TOKENS))
 
 
+def trained(docs: DataFrame, path: str, **options) -> dict[bytes, int]:
+    """The merge ranks kept at `path` as (token_id, token_bytes, is_special); learned from docs and written there if there are none."""
+    spark = docs.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        write_vocabulary(vocabulary(spark, train_vocabulary(docs, **options)), path)
+    rows = read_vocabulary(spark, path).where(~F.col("is_special")).collect()  # a vocabulary is bounded
+    return {bytes(r["token_bytes"]): r["token_id"] for r in sorted(rows, key=lambda r: r["token_id"])}
+
+
 def vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """(token_id, token_bytes, is_special): special ids come after the merges."""
     rows = [(i, b, False) for b, i in ranks.items()] + [(len(ranks) + k, s.encode(), True) for k, s in enumerate(SPECIAL_TOKENS)]

@@ -44,11 +44,31 @@ def running_best(df: DataFrame) -> DataFrame:
 
 
 def kept_deltas(df: DataFrame) -> DataFrame:
-    """Gain over the kept experiment before, the first one left out; nulls sort last."""
+    """Gain over the kept experiment before, the first one left out."""
     k = kept(df).withColumn("before", F.lag("val_bpb").over(history())).withColumn("n", F.row_number().over(history()))
     return k.where("n > 1").withColumn("delta", F.round(F.col("before") - F.col("val_bpb"), 6)).drop("n")
 
 
+def ranked_gains(df: DataFrame) -> DataFrame:
+    """Each history's gains, the greatest first, nulls last, then by time; numbered from 1."""
+    order = [F.desc_nulls_last("delta"), *ORDER]
+    return kept_deltas(df).withColumn("rank", F.row_number().over(Window.partitionBy("night").orderBy(*order)).cast("long")).orderBy("night", "rank")
+
+
+def commit_rows(df: DataFrame, start: float) -> DataFrame:
+    """The commit line of every kept run: its subject states the value and the difference to the best one before, or to `start`."""
+    best = F.coalesce(F.min("val_bpb").over(upto(end=-1)), F.lit(start))
+    rows = numbered(keep_if_better(df, start).where("kept")).withColumn("best_before", F.least(best, F.lit(start)))
+    return rows.withColumn("subject", R.commit_subject(F.col("val_bpb"), F.col("best_before"), F.col("description"), F.col("n")))
+
+
+def report_lines(df: DataFrame, most: int = 5) -> DataFrame:
+    """Each history's best runs as lines of a report: number, commit, value, and what was changed, cut for display."""
+    w = Window.partitionBy("night").orderBy("val_bpb", *ORDER)
+    top = df.where(F.col("val_bpb").isNotNull()).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
+    return top.withColumn("shown", F.format_string("%2d. %s  %.4f  %s", "rank", F.substring("commit", 1, 8), "val_bpb", R.shortened(F.col("description"))))
+
+
 def keep_if_better(df: DataFrame, start: float | None = None) -> DataFrame:
     """Kept if strictly better than all before; crashed and implausible runs never are."""
     v = R.plausible_bpb(F.when(~F.col("status").eqNullSafe("CRASH"), F.col("val_bpb")))
@@ -106,7 +126,7 @@ def parse_log(lines: DataFrame, column: str = "line") -> DataFrame:
     p = F.split(F.col(column), "\\|", 3)
     df = lines.where(F.col(column).contains("val_bpb") & F.col(column).contains("|")).withColumns({"_h": F.get(p, F.lit(0)), "_s": F.get(p, F.lit(1)), "_t": F.get(p, F.lit(2))})
     s = F.col("_s")
-    fields = {"sha": F.substring("_h", 1, 8), "val_bpb": R.number(R.first_group(s, R.BPB_PATTERN)), "delta": R.number(R.first_group(s, R.DELTA_PATTERN)), "change": F.coalesce(F.trim(R.first_group(s, R.CHANGE_PATTERN)), F.substring(s, 1, 60)), "hypothesis": F.coalesce(F.trim(R.first_group(s, R.HYPOTHESIS_PATTERN)), F.lit("")), "timestamp": F.col("_t")}
+    fields = {"sha": F.substring("_h", 1, 8), "val_bpb": R.number(R.first_group(s, R.BPB_PATTERN)), "delta": R.number(R.first_group(s, R.DELTA_PATTERN)), "change": F.coalesce(R.first_group(s, R.CHANGE_PATTERN), F.substring(s, 1, 60)), "hypothesis": F.coalesce(R.first_group(s, R.HYPOTHESIS_PATTERN), F.lit("")), "timestamp": F.coalesce(F.trim("_t"), F.lit(""))}
     return df.select(*[c for c in lines.columns if c != column and c not in fields], *[v.alias(k) for k, v in fields.items()]).where(F.col("val_bpb").isNotNull())
 
 

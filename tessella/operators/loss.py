@@ -51,6 +51,17 @@ def with_lengths(tokens: DataFrame, lengths: DataFrame, token: str = "token_id")
     return tokens.join(lengths, token)
 
 
+def evaluated(tokens: DataFrame, lengths: DataFrame, budget: int, length: int, batch: int) -> DataFrame:
+    """Bits per byte of (row_id, pos, token_id, nats) over a budget of tokens: whole batches of rows of `length` tokens, as many as the budget holds.
+
+    Row ids count from 0, so the budget is a filter on them. Tokens without bytes don't count; lengths is a vocabulary table.
+    """
+    rows = budget // (batch * length) * batch
+    t = with_lengths(tokens.where(F.col("row_id") < rows), F.broadcast(lengths))  # a vocabulary's size bounds it
+    n = F.col("n_bytes")
+    return t.agg(F.count("*").alias("n_tokens"), F.sum(n).alias("n_bytes"), bits_per_byte(F.col("nats"), n).alias("bpb_ce"), bits_per_byte(R.focal(F.col("nats")), n).alias("bpb_focal"))
+
+
 def bigram_nats(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """(by, before, token, n, nats): word pairs with add-one smoothing, a stand-in for a network's losses."""
     words = F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
@@ -71,6 +82,22 @@ def throughput(steps: DataFrame, tokens_per_step: int, flops_per_token: float, p
     return steps.withColumns({"tokens_per_s": rate, "mfu_percent": rate * flops_per_token / peak_flops * 100, "trained_s": F.coalesce(F.sum(F.when(F.col("step") > warmup, F.col("dt"))).over(w), F.lit(0.0))})
 
 
+def progress_rows(steps: DataFrame, tokens_per_step: int, flops_per_token: float, budget_s: float, peak_flops: float = 989.5e12, warmup: int = 10) -> DataFrame:
+    """What is shown after each step of (run, step, dt): share of the budget done before it, milliseconds, tokens per second, utilisation, seconds left."""
+    t = throughput(steps, tokens_per_step, flops_per_token, peak_flops, warmup)
+    w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("step") > warmup, F.col("dt"))).over(w), F.lit(0.0))
+    return t.withColumns({"done_percent": 100 * F.least(before / budget_s, F.lit(1.0)), "dt_ms": F.col("dt") * 1000, "tokens_per_s": F.floor("tokens_per_s"), "remaining_s": F.greatest(F.lit(0.0), budget_s - F.col("trained_s"))})
+
+
+def run_summary(steps: DataFrame, tokens_per_step: int, flops_per_token: float, peak_flops: float = 989.5e12, warmup: int = 10) -> DataFrame:
+    """One row for each run of (run, step, dt): its seconds after the warm-up and in all, steps, millions of tokens, steady utilisation of the peak."""
+    trained = F.coalesce(F.sum(F.when(F.col("step") > warmup, F.col("dt"))), F.lit(0.0))
+    out = steps.groupBy("run").agg(trained.alias("training_seconds"), F.sum("dt").alias("total_seconds"), F.count("*").alias("num_steps"))
+    steady = 100 * flops_per_token * tokens_per_step * (F.col("num_steps") - warmup) / F.col("training_seconds") / peak_flops
+    return out.withColumns({"mfu_percent": F.when(F.col("training_seconds") > 0, steady).otherwise(0.0), "total_tokens_m": tokens_per_step * F.col("num_steps") / 1e6})
+
+
 def parameter_groups(parameters: DataFrame) -> DataFrame:
     """(component, shape, n) parameters grouped by shape, in order of shape, with their totals."""
     return parameters.groupBy("shape").agg(F.array_sort(F.collect_list("name")).alias("names"), F.sum("n").alias("n")).orderBy("shape")
@@ -80,3 +107,10 @@ def model_size(vocab: int, depth: int, dim: int) -> dict[str, int]:
     """Parameters by component: embeddings, value embeddings of every other layer, head, blocks, scalars."""
     out = {"wte": vocab * dim, "value_embeds": vocab * dim * (depth // 2), "lm_head": vocab * dim, "blocks": 12 * dim * dim * depth + 32 * depth, "scalars": 2 * depth}
     return out | {"total": sum(out.values())}
+
+
+def flops_per_token(vocab: int, depth: int, dim: int, heads: int, length: int, pattern: str = "L") -> int:
+    """Forward and backward: six for each parameter of a matrix, and attention over each layer's window."""
+    size = model_size(vocab, depth, dim)
+    matrices = size["total"] - size["wte"] - size["value_embeds"] - size["scalars"]
+    return 6 * matrices + sum(12 * heads * (dim // heads) * min(w, length) for w in R.attention_windows(pattern, depth, length))

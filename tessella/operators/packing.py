@@ -58,15 +58,19 @@ def pack(docs: Iterable[list[int]], capacity: int, buffer: int = 1000, batch: in
             row = []
 
 
-def packed_rows(docs: DataFrame, key: str, tokens: str, length: int, groups: int) -> DataFrame:
-    """(pack_group, row_id, tokens): each group packs its documents in key order by itself; the group is the key's remainder, so results don't depend on the cluster."""
+#: Neighbouring keys that are packed together: a group's size has this bound, whatever the table's.
+BLOCK = 2048
+
+
+def packed_rows(docs: DataFrame, key: str, tokens: str, length: int, block: int = BLOCK) -> DataFrame:
+    """(pack_group, row_id, tokens): each block of keys packs its documents in key order by itself, so results don't depend on the cluster."""
 
     def run(k: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = list(pack((list(map(int, x)) for x in frame.sort_values(key)[tokens]), length + 1))
         return pd.DataFrame({"pack_group": k[0], "row_id": range(len(rows)), "tokens": rows}) if rows else pd.DataFrame({"pack_group": [], "row_id": [], "tokens": []})
 
-    d = docs.where(F.col(key).isNotNull()).select(key, tokens).withColumn("pack_group", F.pmod(F.col(key), F.lit(groups)).cast("int"))
-    return d.groupBy("pack_group").applyInPandas(run, "pack_group int, row_id long, tokens array<int>")
+    d = docs.where(F.col(key).isNotNull()).select(key, tokens).withColumn("pack_group", F.floor(F.col(key) / block).cast("long"))
+    return d.groupBy("pack_group").applyInPandas(run, "pack_group long, row_id long, tokens array<int>")
 
 
 def training_pairs(rows: DataFrame) -> DataFrame:

@@ -69,10 +69,15 @@ def latencies_by_label(sessions: DataFrame) -> DataFrame:
     return classified(sessions).select("user_id", "day", "label", F.posexplode(T.latencies(F.col("text"))).alias("pos", "latency_ms"))
 
 
+def first_sessions(sessions: DataFrame, n: int = 2000) -> DataFrame:
+    """The first n sessions in order, for a quick look: each task keeps n, no more meet."""
+    return sessions.orderBy("user_id", "day").limit(n)
+
+
 def sample_per_label(sessions: DataFrame, seed: int = 42) -> DataFrame:
-    """One session of each label, by the least hash; partial minima, so no label is gathered."""
+    """One session of each label, by the least digest; partial minima, so no label is gathered."""
     c = classified(sessions)
-    key = F.struct(F.xxhash64("user_id", "day", F.lit(seed)).alias("h"), "user_id", "day", F.substring("text", 1, 400).alias("shown"))
+    key = F.struct(F.md5(F.concat_ws("|", "user_id", F.col("day").cast("string"), F.lit(seed))).alias("h"), "user_id", "day", F.substring("text", 1, 400).alias("shown"))
     return c.groupBy("label").agg(F.min(key).alias("s")).select("label", "s.user_id", "s.day", "s.shown")
 
 

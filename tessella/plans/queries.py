@@ -6,6 +6,7 @@ The tables stand in for the engine's own inputs: `events` for telemetry (a sessi
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -20,7 +21,8 @@ from ..operators import loss as L
 from ..operators import packing as P
 from ..operators import sessions as S
 from ..sources import generate as G
-from ..sources.corpus import spread
+from ..sources.corpus import ensure_ids, spread
+from ..sources.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,9 +129,9 @@ def event_attributes(spark, sf_dir):
     return S.event_rows(sessions(spark, sf_dir)).drop("attrs").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "day": F.col("day").cast("string")})
 
 
-@query()
+@query(f"WITH {_CLASSED}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', user_id, day::VARCHAR, 42)), user_id, day) AS r FROM c) SELECT label, user_id, day::VARCHAR AS day, substr(text, 1, 400) AS shown FROM r WHERE r = 1")
 def sample_per_label(spark, sf_dir):
-    return S.sample_per_label(sessions(spark, sf_dir))
+    return S.sample_per_label(sessions(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'password=|Licensed under')")
@@ -143,9 +145,9 @@ def doc_truncate(spark, sf_dir):
     return d.withColumn("n", F.length("text").cast("long"))
 
 
-@query("SELECT doc_id, chars_before FROM (SELECT doc_id, coalesce(sum(length(left(text, 10000))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM documents) WHERE chars_before < 1000000")
+@query("SELECT doc_id, chars_before FROM (SELECT doc_id, coalesce(sum(length(left(text, 10000))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM documents) WHERE chars_before < 1000000000")
 def char_budget_scan(spark, sf_dir):
-    return P.char_budget(table(spark, sf_dir, "documents"), "doc_id", "text", 1_000_000).select("doc_id", "chars_before")
+    return P.char_budget(table(spark, sf_dir, "documents"), "doc_id", "text", 1_000_000_000).select("doc_id", "chars_before")
 
 
 @query("SELECT CASE WHEN doc_id % 21 = 20 THEN 'val' ELSE 'train' END AS split, count(*)::BIGINT AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1")
@@ -232,6 +234,10 @@ def sparkline(spark, sf_dir):
     return X.sparklines(experiments(spark, sf_dir))
 
 
+_PARSED = """regexp_extract(s, 'val_bpb=(\\d+\\.\\d+)', 1)::DOUBLE AS val_bpb, try_cast(nullif(regexp_extract(s, 'Δ=([+-]?\\d+\\.\\d+)', 1), '') AS DOUBLE) AS delta,
+  coalesce(nullif(regexp_extract(s, '\\[change: ([^\\]]+)\\]', 1), ''), left(s, 60)) AS change, regexp_extract(s, '\\[hypothesis: ([^\\]]+)\\]', 1) AS hypothesis"""
+
+
 def log_lines(spark, sf_dir):
     e = experiments(spark, sf_dir)
     odd = F.col("ordinal") % 2 == 1
@@ -240,7 +246,7 @@ def log_lines(spark, sf_dir):
 
 
 @query(f"""WITH {_EXPERIMENTS}, l AS (SELECT night, ordinal, md5(ordinal::VARCHAR) AS h, printf('[val_bpb=%.6f] ', val_bpb) || CASE WHEN ordinal % 2 = 1 THEN '[Δ=-0.0' || (ordinal % 90 + 10) || '] [change: swap ' || status || '] [hypothesis: less is more]' ELSE 'plain note ' || commit END AS s, CASE WHEN ordinal % 7 = 0 THEN 'cut|' ELSE '' END || strftime(ran_at, '%Y-%m-%d %H:%M:%S') AS t FROM e)
-SELECT night, ordinal, substr(h, 1, 8) AS sha, regexp_extract(s, '\\[val_bpb=([0-9.]+)\\]', 1)::DOUBLE AS val_bpb, try_cast(nullif(regexp_extract(s, '\\[Δ=([+-]?[0-9.]+)\\]', 1), '') AS DOUBLE) AS delta, coalesce(nullif(regexp_extract(s, '\\[change:\\s*([^\\]]+)\\]', 1), ''), left(s, 60)) AS change, regexp_extract(s, '\\[hypothesis:\\s*([^\\]]+)\\]', 1) AS hypothesis, t AS timestamp FROM l""")
+SELECT night, ordinal, substr(h, 1, 8) AS sha, {_PARSED}, t AS timestamp FROM l""")
 def commit_subject_parse(spark, sf_dir):
     return X.parse_log(log_lines(spark, sf_dir))
 
@@ -268,7 +274,13 @@ def stable_distinct(spark, sf_dir):
     return X.distinct_in_order(table(spark, sf_dir, "events"), "event_type", ["event_id"])
 
 
-@query()
+# The pattern without look-ahead: texts are cut before the last sign of white space that text follows, where a token ends anyway.
+_SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_PRETOKENS = rf"''(?i:[sdmt]|ll|ve|re)|[^\r\n\p{{L}}\p{{N}}]?\p{{L}}+|\p{{N}}{{1,2}}| ?[^{_SPACE}\p{{L}}\p{{N}}]+[\r\n]*|[{_SPACE}]*[\r\n]|[{_SPACE}]+"
+
+
+@query(rf"""WITH c AS (SELECT unnest(string_split(regexp_replace(text, '([{_SPACE}])([{_SPACE}][^{_SPACE}])', '\1' || chr(57344) || '\2', 'g'), chr(57344))) AS part FROM documents)
+SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(part, '{_PRETOKENS}')) AS token FROM c) GROUP BY token""")
 def pretoken_counts(spark, sf_dir):
     return K.pretoken_counts(table(spark, sf_dir, "documents"))
 
@@ -280,7 +292,10 @@ def pretoken_counts_plain(spark, sf_dir):
 
 
 def _ranks(spark, sf_dir):
-    return K.train_vocabulary(table(spark, sf_dir, "documents"), size=8192)
+    """The vocabulary of the documents: learned once for each folder, then read."""
+    name = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()
+    path = f"{shared_dir(spark)}/vocabulary-{spark.sparkContext.applicationId}-{name}"
+    return K.trained(table(spark, sf_dir, "documents"), path, size=8192)
 
 
 @query()
@@ -307,8 +322,7 @@ def decode_roundtrip(spark, sf_dir):
 def packed_rows(spark, sf_dir):
     ranks = _ranks(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", K.encoder(ranks, prepend=K.bos_id(ranks))("text").alias("ids"))
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = P.packed_rows(d, "doc_id", "ids", 256, groups)
+    rows = P.packed_rows(d, "doc_id", "ids", 256)
     return P.training_pairs(rows).select("pack_group", "row_id", F.size("tokens").alias("n"), F.md5(F.array_join("inputs", ",")).alias("inputs_md5"), F.get("targets", F.lit(255)).alias("last_target"))
 
 
@@ -362,10 +376,11 @@ def bits_per_byte(spark, sf_dir):
     return b.groupBy("split").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("bytes")).alias("n_bytes"), F.round(L.bits_per_byte(F.col("nats"), F.col("bytes"), F.col("n")), 6).alias("bpb_ce"), F.round(L.bits_per_byte(R.focal(F.col("nats")), F.col("bytes"), F.col("n")), 6).alias("bpb_focal"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i / 100.0 > 1 - 0.65 THEN (1 - i / 100.0) / 0.65 ELSE 1.0 END, 6)::DOUBLE AS rate, round(least(i / 300.0, 1) * 0.1 + 0.85, 6)::DOUBLE AS momentum FROM range(0, 101) t(i)")
+@query("SELECT i AS step, printf('step %05d', i) AS shown, round(1 / (1 + exp(-i / 10.0)), 6)::DOUBLE AS sigmoid, round(0.2 * (1 - i / 100.0), 6)::DOUBLE AS decay, (ceil(i * 64 / 128.0) * 128)::BIGINT AS dim, round(CASE WHEN i / 100.0 > 1 - 0.65 THEN (1 - i / 100.0) / 0.65 ELSE 1.0 END, 6)::DOUBLE AS rate, round((1 - least(i / 300.0, 1)) * 0.85 + least(i / 300.0, 1) * 0.95, 6)::DOUBLE AS momentum FROM range(0, 101) t(i)")
 def lr_schedule(spark, sf_dir):
     p = F.col("step") / 100
-    return spark.range(101).select(F.col("id").alias("step")).select("step", F.round(R.schedule(p), 6).alias("rate"), F.round(F.least(F.col("step") / 300, F.lit(1.0)) * 0.1 + 0.85, 6).alias("momentum"))
+    out = {"shown": F.format_string("step %05d", "step"), "sigmoid": F.round(R.sigmoid(F.col("step") / 10), 6), "decay": F.round(R.weight_decay(p, 0.2), 6), "dim": R.rounded_dim(F.col("step")), "rate": F.round(R.schedule(p), 6), "momentum": F.round(R.momentum(F.col("step")), 6)}
+    return spark.range(101).select(F.col("id").alias("step")).select("step", *[c.alias(k) for k, c in out.items()])
 
 
 @query("SELECT user_id, event_id, round(32768 / nullif(value, 0), 4) AS tokens_per_s, round(32768 / nullif(value, 0) * 6e7 / 989.5e12 * 100, 8) AS mfu_percent, round(coalesce(sum(CASE WHEN k > 10 THEN value END) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING), 0), 4) AS trained_s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)")
@@ -381,11 +396,9 @@ def epoch_scan(spark, sf_dir):
     return P.epochs(table(spark, sf_dir, "documents").select("doc_id"), 2).withColumn("epoch", F.col("epoch").cast("long"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels)")
+@query("SELECT doc_id FROM labels UNION SELECT doc_id FROM documents")
 def union_if_absent(spark, sf_dir):
-    from ..sources.corpus import ensure_ids
-
-    return ensure_ids(table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"))
+    return ensure_ids(table(spark, sf_dir, "labels").select("doc_id").distinct(), table(spark, sf_dir, "documents").select("doc_id"))
 
 
 @query("SELECT (l_orderkey % 97)::VARCHAR AS shape, count(DISTINCT l_partkey)::BIGINT AS n_names, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")

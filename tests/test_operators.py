@@ -155,7 +155,18 @@ def test_run_outputs(spark):
     assert value(spark, R.metric(F.lit(text), "val_bpb")) == 0.4
     assert value(spark, R.metric(F.lit(text), "depth")) is None
     assert value(spark, R.plausible_bpb(F.lit(99.0))) is None
-    assert value(spark, R.code_block(F.lit(text))) == "x = 1\n"
+    assert value(spark, R.code_block(F.lit(text))) == "x = 1"
+    assert value(spark, R.code_block(F.lit("```\nprose\n```"))) is None and value(spark, R.code_block(F.lit("```\n\n def f(): 1\u00a0\n```"))) == "def f(): 1"
+    assert value(spark, R.code_block(F.lit("none"))) is None
+    assert value(spark, R.metric(F.lit("[log] val_bpb:  0.25 val_bpb:\n1.2.3 depth: 4"), "val_bpb")) == 1.2
+    assert value(spark, R.change_summary(F.lit("Proposed change: raise the warm-up share to 0.1..\nmore"))) == "raise the warm-up share to 0.1"
+    assert value(spark, R.change_summary(F.lit("well\nI AM TRYING a larger batch of tokens now\n"))) == "a larger batch of tokens now"
+    assert value(spark, R.change_summary(F.lit("short\n  this line has more than twenty characters  \nend\n```python\na longer line than any other one here"))) == "this line has more than twenty characters"
+    assert value(spark, R.change_summary(F.lit("short"))) == "see response log"
+    assert value(spark, R.last_lines(F.lit("\n".join(map(str, range(30))) + "\n\n"), 3)) == "27\n28\n29"
+    assert value(spark, R.run_log(F.lit("a"), F.lit(None).cast("string"))) == "a" and value(spark, R.numeric_suffix(F.lit("KEY_12"))) == 12
+    assert value(spark, R.rounded_dim(F.lit(5))) == 384 and value(spark, R.weight_decay(F.lit(0.25), 0.2)) == pytest.approx(0.15)
+    assert value(spark, R.commit_subject(F.lit(0.5), F.lit(0.625), F.lit("x" * 70), F.lit(3))) == "[val_bpb=0.5000] [Δ=-0.1250] [change: " + "x" * 60 + "] [exp: 3]"
     assert value(spark, R.shortened(F.lit("x" * 50))) == "x" * 42 + "..."
     assert value(spark, R.number(F.lit("1.5x"))) is None
 
@@ -171,14 +182,28 @@ def test_shards(spark, tmp_path):
         os.makedirs(path, exist_ok=True)
         shutil.copy(glob.glob(f"{tmp_path}/w{n}/*.parquet")[0], f"{path}/{C.shard_name(n)}")
     df = C.read_corpus(spark, path)
-    assert sorted((r["session_id"], r["text"]) for r in df.collect()) == [(0, "a"), (1, "b"), (1_000_000, "c"), (6542_000_000, "d")]
+    assert sorted((r["session_id"], r["text"]) for r in df.collect()) == [(0, "a"), (1, "b"), (1 << 32, "c"), (6542 << 32, "d")]
     assert [r["text"] for r in C.split(df, "val").collect()] == ["d"] and C.split(df, "train").count() == 3
     assert C.read_corpus(spark, path, first=1).count() == 2
     assert [r["file"] for r in C.list_shards(spark, path).collect()] == ["shard_00000.parquet", "shard_00001.parquet", "shard_06542.parquet"]
     out = str(tmp_path / "out")
-    C.write_shards(spark.createDataFrame([(0, "a"), (1, "b")], "shard int, text string"), out)
-    C.write_shards(spark.createDataFrame([(1, "again"), (2, "c")], "shard int, text string"), out)
-    assert sorted((r["shard"], r["text"]) for r in spark.read.parquet(out).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    assert C.write_shards(spark.createDataFrame([(0, "a"), (1, "b")], "shard int, text string"), out) == ["shard_00000.parquet", "shard_00001.parquet"]
+    assert C.write_shards(spark.createDataFrame([(1, "again"), (2, "c"), (None, "x")], "shard int, text string"), out) == ["shard_00002.parquet"]
+    assert sorted((r["file"], r["text"]) for r in C.read_corpus(spark, out).collect()) == [("shard_00000.parquet", "a"), ("shard_00001.parquet", "b"), ("shard_00002.parquet", "c")]
+
+
+def test_log_and_outputs(spark, tmp_path):
+    lines = [f"{i:040d}|[val_bpb=0.{9000 - i}] note|2026-01-01" for i in range(5000)]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = C.read_log(spark, str(tmp_path / "log.txt")).orderBy("ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["line"] for r in got] == lines[::-1]
+    df = spark.createDataFrame([("a", "x\n\ny"), ("b", "z\n")], "name string, text string")
+    C.write_outputs(df, str(tmp_path / "texts"))
+    assert sorted(map(tuple, C.read_named_outputs(spark, str(tmp_path / "texts")).collect())) == [("a", "x\n\ny"), ("b", "z\n")]
 
 
 def test_experiment_table(spark, tmp_path):
