@@ -3,56 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import spread
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401  for the operators
 
 #: ASCII white space, the word separator of the word rules.
 SPACES = "\t\n\x0b\x0c\r "
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; if it is unset, a local one, in local mode only."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if (held := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        return held.get().rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="tessella-"))
-    return "file://" + _own[0]
-
-
-class Scratch:
-    """Tables in the shared folder that cut a job's lineage; a lost executor reads them again. They go when the application ends."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
-
-    def size(self, name: str) -> int:
-        """Bytes that a table takes in storage."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-
-    def drop(self, name: str) -> None:
-        """For a table that no returned frame reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; a small `documents` is dealt out to all cores.
 
