@@ -179,6 +179,51 @@ def test_pii(spark, odd, none):
     assert pii.report(none).count() == 0 and pii.redact(none).count() == 0
 
 
+def planted_texts():
+    """(kind, text, start, end) of spans that neither the labelled table nor, but for the first kind, the test tables hold, and texts without any."""
+    rng = random.Random(17)
+    plain = "the house was sold in spring and the token passed on , he said . A password is a secret word | set = 12 ; see table 4 No. 7".split()
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n - 2)) + "7Q"
+
+    def amex():
+        head = [3, 7, *(rng.randrange(10) for _ in range(12))]
+        return next("".join(map(str, [*head, d])) for d in range(10) if pii.luhn("".join(map(str, [*head, d]))))
+
+    made = {
+        "set": lambda: ("secret", 'token = "{}"', hexa(40)), "upper": lambda: ("secret", 'TOKEN = "{}"!!', hexa(40).upper()), "name": lambda: ("secret", "{}", f"password={hexa(18)}"),
+        "key": lambda: ("secret", "{}", "AKIA" + mixed(16)), "colon": lambda: ("secret", 'api_key: "{}"', hexa(32)), "card": lambda: ("card", "{}", amex()),
+        "ip": lambda: ("ip", "{}", f"2001:db8:{rng.randrange(1, 9999)}::{rng.randrange(1, 9999)}"),
+    }
+    for name, make in made.items():
+        for _ in range(60):
+            words = [rng.choice(plain) for _ in range(40)]
+            at = rng.randrange(1, 39)
+            kind, form, span = make()
+            head, tail = " ".join(words[:at]) + " " + form.split("{}")[0], form.split("{}")[1] + " " + " ".join(words[at:])
+            yield name, kind, head + span + tail, len(head), len(head) + len(span)
+    for _ in range(300):
+        words = [rng.choice([*plain, str(rng.randrange(10**16)), f'"{hexa(40)}"', f"{hexa(7)}", "DE89 3704 0044 0532 0130 00", "x=1"]) for _ in range(40)]
+        yield "clean", "", " ".join(words), 0, 0
+
+
+def test_added_spans_recall_and_precision():
+    tagger, found, wrong = pii.Tagger(pii.train()), {}, 0
+    for name, kind, text, start, end in planted_texts():
+        base, both = pii.find(text, tagger)
+        added = [s for s in both if s not in base]
+        found.setdefault(name, []).append((kind, start, end) in added)
+        # A card of a Luhn number that chance made isn't wrong.
+        wrong += any(s != (kind, start, end) and s[0] != "card" for s in added)
+    recall = {k: sum(v) / len(v) for k, v in found.items() if k != "clean"}
+    assert all(v >= 0.9 for v in recall.values()), recall
+    assert wrong <= 0.1 * 720, wrong
+    for text in ("number 4111111111111112 is", "1234567890123456 1234567890123456", "x" * 200 + "&token=0a1b2c3d4e5f607182&" + "y" * 300):
+        assert not any(k == "card" for k, _, _ in pii.find(text, tagger)[1])
+    long = "x" * 200 + "&token=0a1b2c3d4e5f607182&" + "y" * 300
+    assert [long[s:e] for k, s, e in pii.find(long, tagger)[1]] == ["token=0a1b2c3d4e5f607182"]
+
+
 def test_viterbi_is_the_best_path():
     rng, tagger = np.random.default_rng(4), pii.Tagger(pii.train())
     k = len(pii.LABELS)
@@ -186,10 +231,7 @@ def test_viterbi_is_the_best_path():
     for _ in range(60):
         seq = [tokens[i] for i in rng.integers(0, len(tokens), 5)]
         got = tagger.label(seq)
-        s = tagger.scores[[tagger._number(t) for t in seq]]
-        e = s[:, 0].copy()
-        e[1:] += s[:-1, 1]
-        e[:-1] += s[1:, 2]
+        e = pii.emissions(tagger.scores[[tagger._number(t) for t in seq]])
         best = max(np.ndindex(*[k] * 5), key=lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(tagger.moves[a, b] for a, b in zip(p, p[1:], strict=False)))
         value = lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(tagger.moves[a, b] for a, b in zip(p, p[1:], strict=False))
         assert abs(value(got) - value(best)) < 1e-9
