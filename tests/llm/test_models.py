@@ -150,19 +150,82 @@ def test_scores(spark, odd, none, labelled):
 def test_tree_is_a_distribution():
     words = [w.encode() for w in ("the", "then", "than", "a", "an", "to", "ten", "net")]
     counts = np.array([50, 20, 10, 60, 30, 40, 5, 3], float)
-    names = suffix_tree.frequent_contexts(words, counts)
+    names = [x for x, _ in suffix_tree.frequent_contexts(words, counts)]
     table_ = suffix_tree.context_counts(words, counts, names)
     tree = suffix_tree.build(table_)
-    singles = [bytes([b]) for b in range(256) if b not in b" \t\n\x0b\x0c\r"]
-    # All words of a byte and their end, or a longer word: the chance of the first byte is that of its two-byte beginnings.
-    start = np.exp(tree.score([b"t"])[0][0]) + sum(np.exp(tree.score([b"t" + s])[0][0]) for s in singles)
-    assert 0 < start <= 1
+    singles = [bytes([b]) for b in range(256) if b != 32]
+    # All beginnings of two bytes, a word of one byte being followed by its end: what is missing to 1 is a space at once and the share of a 257th symbol.
+    pairs = [a + b for a in singles for b in singles]
+    start = np.exp(tree.score(singles)[0]).sum() + np.exp(tree.score(pairs)[0]).sum()
+    assert 0.9 < start <= 1 + 1e-9
+    # And behind a beginning of three bytes: its chance is that of all that may follow.
+    follow = np.exp(tree.score([b"the" + s for s in singles])[1] - tree.score([b"the" + s + b"#" for s in singles])[1])
+    assert np.isfinite(follow).all()
     held = tree.score(words)[1]
     assert held[0] > held[2] and np.isfinite(held).all()
     total = table_[table_["depth"] == 0]["n"].sum()
     assert total == sum(c * (len(w) + 1) for w, c in zip(words, counts, strict=True))
 
 
+def plain_scores(docs):
+    """The score by the rules, for texts of fewer distinct words than the tree lists: one distribution for each context, in dictionaries."""
+    from collections import defaultdict as dd
+
+    M = suffix_tree
+    train = [M.tokens_of(t) for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    count = Counter(w for t in train for w in t)
+    listed = {w: i for i, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0])), 1)}
+    # The symbols that aren't words are those of prefixes: none here.
+    size = M.LISTED + 2 + M.PREFIXES
+
+    def states(words):
+        for i in range(len(words) + 1):
+            before, far = words[i - 1] if i else None, words[i - 2] if i > 1 else None
+            n, m = listed.get(before, 0), listed.get(far, 0)
+            last = (b" " + before)[-2:] if before else b"\n"
+            yield (words[i] if i < len(words) else None), ("s", last), ("w", n) if 0 < n <= M.WHOLE else None, ("p", m, n if n <= M.NEAR else 0) if 0 < m <= M.FAR else None
+
+    root, seen = Counter(), dd(Counter)
+    for t in train:
+        for s, *contexts in states(t):
+            root[s] += 1
+            for c in contexts:
+                if c:
+                    seen[c][s] += 1
+    total = sum(root.values())
+    p0 = lambda s: (root[s] + 0.5) / (total + 0.5 * size)
+    kept = {c for c, x in seen.items() if sum(x.values()) >= M.P_UPPER * total and sum(n * math.log(n / sum(x.values()) / p0(s)) for s, n in x.items()) >= M.DIVERGENCE * len(x)}
+    out = []
+    for _, text in docs:
+        score = 0.0
+        for s, suffix, whole, pair in states(M.tokens_of(text)):
+            p = p0(s)
+            for c in (suffix, whole, pair):
+                if c in kept:
+                    x = seen[c]
+                    n = sum(x.values())
+                    p = (x[s] + len(x) * p) / (n + len(x))
+            score += math.log10(p)
+        out.append(score)
+    return out, len(kept)
+
+
+def test_scores_by_the_rules(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tru") for b in ("n", "st", "ring", "e", "o")]
+    nexts = {w: [rng.choice(words) for _ in range(3)] for w in words}
+    docs = []
+    for i in range(400):
+        w = [rng.choice(words)]
+        for _ in range(rng.randrange(0, 60)):
+            w.append(rng.choice(nexts[w[-1]]))
+        docs.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want, kept = plain_scores(docs)
+    assert kept > 20
+    assert np.allclose([got[i] for i, _ in docs], want, rtol=1e-4)
+
+
 def least_cost(roles):
     best = {chat.START: 0}
     for r in roles:
