@@ -3,8 +3,9 @@
 A word (a match of the pattern) starts as the ids of its bytes. A fold merges, again and again, the
 leftmost neighbouring pair of the least rank, looked up in a literal rank map: an array of small maps
 from a pair of ids to the id of their concatenation, which is its rank as well. The most frequent
-distinct words are folded once and their ids kept in a second literal map; any other word is folded
-where it stands. Decoding concatenates the ids' binary pieces.
+distinct words are folded once and their ids, and the bytes that these decode to, kept in a second
+literal map; any other word is folded where it stands. Decoding concatenates binary pieces: those of
+the ids of a word, then those of the words.
 """
 
 from __future__ import annotations
@@ -133,7 +134,10 @@ class Fold:
 
 @dataclass
 class Codec:
-    """The literals of one rank file and the expressions over them. A literal is named once in an expression, as a variable of all within."""
+    """The literals of one rank file and the expressions over them. A literal is named once in an expression, as a variable of all within.
+
+    `little` has for each id the two characters that UTF-16LE writes as its four bytes in little-endian order.
+    """
 
     pairs: Column
     bytes_: Column
@@ -154,56 +158,79 @@ class Codec:
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     key = a << 16 | b
                     pairs[key % PAIR_BUCKETS][str(key)] = rank << RANK_BIT
-        little = [i.to_bytes(4, "little").hex() for i in range(size)]
+        little = [chr(i) + "\0" for i in range(size)]
         return cls(_constant(pairs, "array<map<bigint,bigint>>"), _constant([ranks[bytes([b])] for b in range(256)], "array<int>"), _constant(pieces, "array<string>"), _constant(little, "array<string>"), "(?U)" + pattern)
 
     def words(self, text: str | Column) -> Column:
         """All matches of the pattern, in order."""
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, words: Column, known: Column | None = None) -> Column:
-        """The ids of each of the words, none of them empty: those in `known`, else by the fold."""
+    def coded(self, words: Column, packed: bool, known: Column | None = None) -> Column:
+        """struct(x, raw) of each of the words, none of them empty: what `known` has, else by the fold.
+
+        x is the word's ids, or the characters that stand for them if packed; raw the text that the ids decode to.
+        """
 
-        def each(pairs, bytes_, known):
+        def each(pairs, bytes_, pieces, little, known):
             fold = Fold(pairs, bytes_)
+
+            def one(ids):
+                x = F.array_join(F.transform(ids, lambda i: F.get(little, i)), "") if packed else ids
+                return F.struct(x.alias("x"), F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string").alias("raw"))
+
+            folded = lambda w: _bind(fold.ids(w), one)
             if known is None:
-                return F.transform(words, fold.ids)
-            return F.transform(words, lambda w: F.coalesce(F.get(known, _bucket(w))[w], fold.ids(w)))
+                return F.transform(words, folded)
+            return F.transform(words, lambda w: F.coalesce(F.get(known, _bucket(w))[w], folded(w)))
 
-        held = lambda p, b: each(p, b, None) if known is None else _bind(known, lambda k: each(p, b, k))
-        return _bind(self.pairs, lambda p: _bind(self.bytes_, lambda b: held(p, b)))
+        held = lambda *a: each(*a, None) if known is None else _bind(known, lambda k: each(*a, k))
+        return _bind(self.pairs, lambda p: _bind(self.bytes_, lambda b: _bind(self.pieces, lambda s: _bind(self.little, lambda n: held(p, b, s, n)))))
 
-    def word_map(self, docs: DataFrame, text: str, most: int) -> Column:
-        """The most frequent words with their ids, each folded once: a map whose size `most` and WORD_BYTES bound."""
+    def word_map(self, docs: DataFrame, text: str, most: int, packed: bool) -> Column:
+        """The most frequent words as `coded`, each folded once: a map whose size `most` and WORD_BYTES bound."""
         # An inner explode would match the pattern twice, once to see that there are words.
         words = docs.select(F.explode_outer(self.words(text)).alias("w")).where(F.octet_length("w") <= WORD_BYTES).groupBy("w").count()
-        top = words.orderBy(F.desc("count"), "w").limit(most).repartition(F.col("w")).select("w", F.get(self.fold(F.array("w")), F.lit(0)).alias("ids"))
+        top = words.orderBy(F.desc("count"), "w").limit(most).repartition(F.col("w")).select("w", F.get(self.coded(F.array("w"), packed), F.lit(0)).alias("s"))
         # One row of at most `most` entries: a map for every bucket, in order.
-        maps = top.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))
+        maps = top.groupBy(_bucket(F.col("w")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("w", "s"))).alias("m"))
         every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
-        empty = F.from_json(F.lit("{}"), "map<string,array<int>>")
+        empty = F.from_json(F.lit("{}"), f"map<string,struct<x:{'string' if packed else 'array<int>'},raw:string>>")
         all_ = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.struct(F.map_entries(F.coalesce("m", empty)).alias("e")).alias("s")))), lambda x: F.map_from_entries(x["s"]["e"])).alias("m"))
         return _literal(all_)
 
-    def encode(self, docs: DataFrame, text: str, ids: str, most: int = WORDS) -> DataFrame:
-        """Adds the ids of the texts' words in place of any column of that name; a null text counts as empty, an empty one has none."""
-        t, w = private("text"), private("words")
+    def _over_words(self, docs: DataFrame, text: str, most: int, packed: bool, of) -> DataFrame:
+        """docs with the fields of the struct that `of` makes of a text's coded words, in place of columns of their names."""
+        t, out = private("text"), private("out")
         docs = docs.withColumn(t, text_or_empty(text))
-        known = self.word_map(docs, t, most)
-        docs = docs.withColumn(w, self.words(t))
-        return docs.withColumn(ids, F.flatten(self.fold(F.col(w), known))).drop(t, w)
+        known = self.word_map(docs, t, most, packed)
+        made = docs.withColumn(out, _bind(self.coded(self.words(t), packed, known), of)).drop(t)
+        names = made.schema[out].dataType.names
+        return made.select(*(c for c in docs.columns if c not in (t, *names)), f"{out}.*")
+
+    def encode(self, docs: DataFrame, text: str, ids: str, raw: str, most: int = WORDS) -> DataFrame:
+        """Adds the ids of the texts' words and the bytes that they decode to; a null text counts as empty, an empty one has no ids."""
+        of = lambda c: F.struct(F.flatten(F.transform(c, lambda x: x["x"])).alias(ids), _decoded(c).alias(raw))
+        return self._over_words(docs, text, most, False, of)
+
+    def digests(self, docs: DataFrame, text: str, most: int = WORDS) -> DataFrame:
+        """Adds n_tokens, and the digests of the ids as little-endian unsigned 32-bit integers and of the bytes that they decode to."""
+
+        def of(c):
+            packed = F.encode(F.array_join(F.transform(c, lambda x: x["x"]), ""), "UTF-16LE")
+            return _bind(packed, lambda p: F.struct(F.shiftright(F.octet_length(p), 2).cast("long").alias("n_tokens"), F.sha2(p, 256).alias("ids_sha256"), F.sha2(_decoded(c), 256).alias("decoded_sha256")))
+
+        return self._over_words(docs, text, most, True, of)
 
     def decode(self, ids: str | Column) -> Column:
-        """The bytes of the ids' pieces, one after the other."""
+        """The bytes of the pieces of any ids, one after the other."""
         return F.unhex(F.array_join(_bind(self.pieces, lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))
 
-    def packed(self, ids: str | Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(_bind(self.little, lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))
+
+def _decoded(coded: Column) -> Column:
+    """The bytes of coded words, one after the other."""
+    return F.array_join(F.transform(coded, lambda x: x["raw"]), "").cast("binary")
 
 
 def report(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per row of docs (doc_id, text): the number and digest of its ids, and the digest of their decoded bytes."""
-    codec = Codec.of(ranks, pattern)
-    out = codec.encode(docs.select("doc_id", "text"), "text", "ids")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(codec.packed("ids"), 256).alias("ids_sha256"), F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"))
+    return Codec.of(ranks, pattern).digests(docs.select("doc_id", "text"), "text").drop("text")

@@ -38,6 +38,10 @@ def test_bpe(spark, ranks, odd, none):
         raw = np.array(plain.encode_ordinary(text), "<u4").tobytes()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert bpe.report(none, ranks, P.PATTERN).count() == 0
+    codec = bpe.Codec.of(ranks, P.PATTERN)
+    for r in codec.encode(df, "text", "ids", "raw", most=5).select("*", codec.decode("ids").alias("again")).collect():
+        text = r["text"] or ""
+        assert r["ids"] == plain.encode_ordinary(text) and bytes(r["raw"]) == bytes(r["again"]) == text.encode()
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 15, 16, 17, 31, 32])
