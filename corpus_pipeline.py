@@ -44,8 +44,9 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         codec = bpe.Codec.of(bpe.parse_ranks(f.read()), public_tokenizers.PATTERN)
     added = ("n_tokens", "ids", "decoded_sha256")
-    out = codec.encode(docs.drop(*added), "text", "ids", most=200_000)
-    return out.select(*(c for c in docs.columns if c not in ("text", *added)), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(codec.decode("ids"), 256).alias("decoded_sha256"))
+    raw = private("raw")
+    out = codec.encode(docs.drop(*added), "text", "ids", raw, most=200_000)
+    return out.select(*(c for c in docs.columns if c not in ("text", *added)), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(raw, 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", good_quality), ("near duplicates", one_of_each), ("decontamination", uncontaminated), ("personal data", redacted), ("token ids", encoded)]
