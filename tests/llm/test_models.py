@@ -226,6 +226,48 @@ def test_scores_by_the_rules(spark):
     assert np.allclose([got[i] for i, _ in docs], want, rtol=1e-4)
 
 
+def test_rare_contexts_by_the_rules():
+    M = suffix_tree
+    rng = random.Random(4)
+    words = [a + b for a in (b"ka", b"lo", b"mi", b"tru") for b in (b"n", b"st", b"ring", b"e", b"o", b"a", b"u")]
+    listed, pairs = words[:5], sorted({(w[0] << 8) | w[1] for w in words})
+    nexts = {w: rng.sample(words, 2) for w in words}
+    texts = []
+    for _ in range(300):
+        t = [rng.choice(words)]
+        for _ in range(rng.randrange(40)):
+            t.append(rng.choice(nexts[t[-1]]) if rng.random() < 0.9 else rng.choice(words))
+        texts.append(t)
+    texts += [[b"twice", b"kan"], [b"twice", b"kan"], [b"once", b"kan"]]
+    symbols = M.Symbols(listed, pairs)
+    symbol = lambda w: symbols.ids.get(w) or int(symbols.of_prefix[(w[0] << 8) | w[1]])
+    root, seen = np.zeros(symbols.size), {}
+    for t in texts:
+        for before, w in zip([None, *t], [*map(symbol, t), symbols.end], strict=True):
+            root[w] += 1
+            if before is not None and before not in listed:
+                seen.setdefault(before, Counter())[w] += 1
+    p0 = (root + 0.5) / (root.sum() + 0.5 * symbols.size)
+    kept = {c for c, x in seen.items() if sum(x.values()) >= M.MASS and sum(n * math.log(n / sum(x.values()) / p0[s]) for s, n in x.items()) >= M.DIVERGENCE * len(x)}
+    assert len(kept) > 5 and b"once" not in kept
+    frame = pd.DataFrame({"text": [b" ".join(t).decode() for t in texts], "held_out": False})
+    frames = [f for half in (frame[:150], frame[150:]) for f in M.context_codes(symbols, 8)(iter([half]))]
+    held = np.sort(M.rare_codes(words[5:], len(words) - 5))
+    out = pd.concat(M.kept_contexts(p0, root.sum(), held)(iter([pd.concat(frames).sort_values("bucket", kind="stable")])))
+    rare = out[out["rare"]]
+    table = M.Distributions(np.frombuffer(b"".join(rare["codes"]), np.uint64), np.frombuffer(b"".join(rare["n"]), np.float64))
+    assert len(table.names) == len(kept)
+    assert set(np.frombuffer(b"".join(rare["held"]), np.uint64).tolist()) == set(M.rare_codes(list(kept & set(words)), len(kept & set(words))).tolist())
+    every = np.arange(symbols.size)
+    for c, x in seen.items():
+        gains = table.gains(M.rare_codes([c], 1) | every.astype(np.uint64), p0)
+        n = sum(x.values())
+        want = [(x[s] + len(x) * p0[s]) / (n + len(x)) if c in kept else p0[s] for s in every.tolist()]
+        assert np.allclose(p0 * 10**gains, want) and abs((p0 * 10**gains).sum() - 1) < 1e-9
+    upper = M.Upper(root, np.frombuffer(b"".join(out["codes"][~out["rare"]]), np.uint64), np.frombuffer(b"".join(out["n"][~out["rare"]]), np.float64))
+    assert (upper.whole >= 0).sum() == len(listed) and np.allclose(upper.suffix_rows.sum(1), 1, atol=1e-4)
+
+
 def least_cost(roles):
     best = {chat.START: 0}
     for r in roles:
