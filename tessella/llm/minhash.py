@@ -24,8 +24,8 @@ from .common import Scratch, id_again, id_text, private
 from .components import components
 
 BANDS, ROWS = 40, 6
-#: Documents to a block of the last round, and shingles that are multiplied at once.
-BLOCK, COLUMNS = 128, 8192
+#: Documents to a block, blocks to a side of one task's share of the last round, and shingles that are multiplied at once.
+BLOCK, GRID, COLUMNS = 128, 16, 8192
 #: Shifts and shingles that are handled at once, so that the arrays stay in cache.
 _SHIFTS, _SHINGLES = 48, 1024
 
@@ -132,7 +132,8 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the members of mixed buckets that are in different components.
 
     A group is the largest component of a bucket with the other members of all such buckets. Only
-    those others are queries; they are held against the whole group, in blocks of about BLOCK.
+    those others are queries; they are held against the whole group, in blocks of about BLOCK. The
+    grid of a group's block pairs is cut into cells of GRID x GRID, so no task gets a whole group.
     """
     major = left.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("group"))
     g = left.join(major, "bucket").select("group", "id", "component").distinct()
@@ -140,12 +141,17 @@ def _rest(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     count = g.groupBy("group").agg(F.count("*").alias("n"), F.count_if(F.col("query")).alias("q"))
     g = g.join(count, "group").join(sets, "id")
 
-    def blocks(rows: DataFrame, n: str, tag: str) -> DataFrame:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)))
-        rows = rows.groupBy("group", "block").agg(F.collect_list(F.struct("id", "component", "s")).alias("x"))
-        return rows.select("group", F.col("x.id").alias(f"i{tag}"), F.col("x.component").alias(f"c{tag}"), F.transform("x.s", F.size).alias(f"n{tag}"), F.flatten("x.s").alias(f"s{tag}"))
-
-    pairs = blocks(g.where("query"), "q", "a").join(blocks(g, "n", "b"), "group").drop("group")
+    def blocks(rows: DataFrame, own: str, other: str, tag: str) -> DataFrame:
+        """Blocks of rows, each in every cell (row, col) of the group's grid in which it meets the other side's blocks."""
+        count = lambda n: F.ceil(F.col(n) / BLOCK)
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), count(own)))
+        rows = rows.groupBy("group", "q", "n", "block").agg(F.collect_list(F.struct("id", "component", "s")).alias("x"))
+        mine, met = ("row", "col") if own == "q" else ("col", "row")
+        cells = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count(other) - 1) / GRID)))
+        return rows.select("group", F.floor(F.col("block") / GRID).alias(mine), cells.alias(met), F.col("x.id").alias(f"i{tag}"), F.col("x.component").alias(f"c{tag}"), F.transform("x.s", F.size).alias(f"n{tag}"), F.flatten("x.s").alias(f"s{tag}"))
+
+    at = ["group", "row", "col"]
+    pairs = blocks(g.where("query"), "q", "n", "a").join(blocks(g, "n", "q", "b"), at).drop(*at)
     return pairs.mapInPandas(_block_links(percent), "u long, v long")
 
 
@@ -169,18 +175,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = scratch.write(own.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
     nodes = own.join(reps, (own["set_key"] == reps["set_key"]) & (own["doc_id"] == reps["rep"]), "left_semi").select("doc_id", "bands", "set_key").dropDuplicates(["set_key"])
     member = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"))
-    pivot = member.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").drop("top")
+    pivot = member.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("n")).where("pivot < top").drop("top")
     member = scratch.write(member.join(pivot, "bucket"), "member")
     involved = member.select(F.col("id").alias("doc_id")).distinct()
     sets = scratch.write(docs.join(involved, "doc_id", "left_semi").mapInPandas(_sets(words), "id long, s array<long>"), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+        """The links (u, v) among the pairs (a, b, n), n being how many may meet this a.
+
+        One a may meet a third of all rows: its pairs are dealt to parts of about BLOCK, and its set goes to each part once.
+        """
+        pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).alias("part"))
+        a = pairs.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         b = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         # Sets whose sizes alone rule the link out aren't compared.
         sized = (100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
-        joined = pairs.join(a, "a").join(b, "b").where(sized)
+        joined = pairs.join(b, "b").join(a, ["a", "part"]).where(sized)
         joined = joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
         return scratch.write(joined.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v")), name)
 
@@ -195,15 +206,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, f"cc{turn}_")
         return comp, scratch.write(split(comp), f"left{turn}")
 
-    edges = confirmed(member.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "edges1")
+    edges = confirmed(member.where("id != pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n")), "edges1")
     comp = components(edges, scratch, "cc1_")
     left = scratch.write(split(comp), "left1")
     if left.head(1):
         ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
         hub = left.join(ends, "id", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("id")).alias("id"))).alias("h"))
-        star = left.join(hub, "bucket").select((-F.col("h.id")).alias("hub"), "id", "component", "pivot").where("id != hub AND hub != pivot AND id != pivot")
+        star = left.join(hub, "bucket").select((-F.col("h.id")).alias("hub"), "id", "component", "pivot", "n").where("id != hub AND hub != pivot AND id != pivot")
         at = left.select(F.col("id").alias("hub"), F.col("component").alias("hub_component")).distinct()
-        star = star.join(at, "hub").where("component != hub_component").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        star = star.join(at, "hub").where("component != hub_component").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
         more = confirmed(star, "edges2")
         comp, left = apart(comp, more, 2)
         if left.head(1):

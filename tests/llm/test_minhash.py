@@ -26,8 +26,10 @@ def brute(texts, words, percent):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_chains_of_near_copies(spark, words):
+@pytest.mark.parametrize(("words", "block", "grid"), [(2, 128, 16), (5, 128, 16), (2, 3, 2)])
+def test_chains_of_near_copies(spark, monkeypatch, words, block, grid):
+    monkeypatch.setattr(M, "BLOCK", block)  # groups of many parts, blocks and cells
+    monkeypatch.setattr(M, "GRID", grid)
     random.seed(5)
     vocabulary, texts = [f"w{i}" for i in range(5000)], []
     for _ in range(4):
