@@ -86,12 +86,13 @@ def epochs(docs: DataFrame, n: int) -> DataFrame:
 def char_budget(docs: DataFrame, order: str, text: str, budget: int, doc_cap: int = 10_000, block: int = 1024) -> DataFrame:
     """Documents in order until their capped characters reach the budget, the one that crosses it included.
 
+    A null text has no characters; rows without an order are left out and cost nothing.
     Sums of blocks of ids are added up first and only within a block row by row; the single-task
     window sees a row for each block of `block` ids.
     """
     from pyspark.sql import Window
 
-    d = docs.withColumn(text, F.substring(text, 1, doc_cap)).withColumn("_n", F.coalesce(F.length(text), F.lit(0))).withColumn("_b", F.floor(F.col(order) / block))
+    d = docs.where(F.col(order).isNotNull()).withColumn(text, F.substring(text, 1, doc_cap)).withColumn("_n", F.coalesce(F.length(text), F.lit(0))).withColumn("_b", F.floor(F.col(order) / block))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = d.groupBy("_b").agg(F.sum("_n").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).where(F.col("_before") < budget).select("_b", "_before")
     within = Window.partitionBy("_b").orderBy(order, text).rowsBetween(Window.unboundedPreceding, -1)

@@ -295,7 +295,7 @@ def _ranks(spark, sf_dir):
     """The vocabulary of the documents: learned once for each folder, then read."""
     name = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()
     path = f"{shared_dir(spark)}/vocabulary-{spark.sparkContext.applicationId}-{name}"
-    return K.trained(table(spark, sf_dir, "documents"), path, size=8192)
+    return K.trained(table(spark, sf_dir, "documents"), path, size=8192, order="doc_id")
 
 
 @query()

@@ -260,6 +260,15 @@ def test_vocabulary_learns_from_all_pretokens(spark):
     assert b" zq" in ranks
 
 
+def test_vocabulary_stops_at_its_budget(spark):
+    docs = spark.createDataFrame([(0, "ab ab ab"), (1, "cd cd cd"), (2, "ef ef ef ef"), (None, "gh gh gh gh gh")], "doc_id long, text string")
+    own = lambda **o: set(K.train_vocabulary(docs, size=300, **o)) - {bytes([i]) for i in range(256)}
+    assert own(order="doc_id", max_chars=9) == {b"ab", b" ab", b"cd", b" cd"}  # the document that crosses the budget counts
+    assert own(order="doc_id") == {b"ab", b" ab", b"cd", b" cd", b"ef", b" ef"}
+    assert b" gh" in own()
+    assert K.train_vocabulary(docs.where("false"), size=300, order="doc_id") == {bytes([i]): i for i in range(256)}
+
+
 def test_merges_are_the_most_frequent_pairs():
     import random
 
@@ -280,6 +289,7 @@ def test_merges_are_the_most_frequent_pairs():
                 i += 1
         names.append(names[best[0]] + names[best[1]])
     assert list(K.learn_merges(counts, 330)) == list(dict.fromkeys(names))
+    assert list(K.learn_merges([(b"aaaaa", 2), (b"aaa", 1)], 300))[256:] == [b"aa", b"aaa", b"aaaaa"]  # runs are merged from the left
 
 
 def test_generator_writes_all_attributes(spark):
