@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..operators.packing import char_budget
 from ..sources.corpus import exists, read_vocabulary, write_vocabulary
+from ..sources.scratch import Scratch
+from . import merges as M
 
 # Letters with one sign before, digits by one or two, signs with line ends, white space; and the special tokens.
 SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 SPECIAL_TOKENS = tuple(f"<|reserved_{i}|>" for i in range(4))
 BOS = SPECIAL_TOKENS[0]
+#: Bytes of distinct pre-tokens from which on a further task learns merges.
+SHARE = 4_000_000
 
 
 def pretokens(text: Column, pattern: str = SPLIT_PATTERN) -> Column:
@@ -28,89 +30,42 @@ def pretoken_counts(docs: DataFrame, text: str = "text", doc_cap: int | None = N
     return docs.select(F.explode_outer(pretokens(t)).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
 
 
-def _by_pair(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts the pairs, each one's first place in it, and the distinct pairs."""
-    order = np.argsort(pairs, kind="stable")
-    first = np.flatnonzero(np.diff(pairs[order], prepend=-1))
-    return order, first, pairs[order[first]]
+def _ranks(names: list[bytes]) -> dict[bytes, int]:
+    return {n: i for i, n in enumerate(dict.fromkeys(names))}
 
 
 def learn_merges(counts: list[tuple[bytes, int]], size: int) -> dict[bytes, int]:
-    """Ranks of 256 bytes and the most frequent pairs, ties by the smaller ids.
+    """Ranks of 256 bytes and the most frequent pairs, ties by the smaller ids."""
+    words = [w for w, _ in counts]
+    share = M.Share(b"".join(words), np.fromiter(map(len, words), np.int64, len(words)), np.array([n for _, n in counts], np.int64), size)
+    return _ranks(M.learn(share, size, M.Alone()))
 
-    All words lie in one array of ids whose places are linked to their neighbours in the word. A
-    merge takes the places listed for its pair and counts anew only the pairs that touch them.
-    """
-    names = [bytes([i]) for i in range(256)]
-    words = [(w, n) for w, n in counts if w]
-    ids = np.frombuffer(b"".join(w for w, _ in words), np.uint8).astype(np.int64)
-    length = np.fromiter((len(w) for w, _ in words), np.int64, len(words))
-    weight = np.repeat(np.fromiter((n for _, n in words), np.int64, len(words)), length)
-    after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)  # -1: none
-    end = np.cumsum(length)
-    after[end - 1] = -1
-    before[end - length] = -1
-    total: dict[int, int] = {}
-    places: dict[int, list[np.ndarray]] = {}
-    heap: list[tuple[int, int]] = []  # an entry whose count isn't the pair's any more is void
-
-    def count(at: np.ndarray, sign: int) -> list[int]:
-        """The pairs that start at these places, added or taken away."""
-        at = at[after[at] >= 0]
-        order, first, pairs = _by_pair(ids[at] << 32 | ids[after[at]])
-        if not len(order):
-            return []
-        at, found = at[order], pairs.tolist()
-        for pair, n in zip(found, np.add.reduceat(weight[at], first).tolist(), strict=True):
-            total[pair] = total.get(pair, 0) + sign * n
-        if sign > 0:
-            for pair, part in zip(found, np.split(at, first[1:]), strict=True):
-                places.setdefault(pair, []).append(part)
-        return found
-
-    def push(pairs) -> None:
-        for pair in pairs:
-            if total[pair] > 0:
-                heapq.heappush(heap, (-total[pair], pair))
-            else:
-                del total[pair]
-                places.pop(pair, None)
-
-    push(count(np.arange(len(ids)), 1))
-    while len(names) < size and heap:
-        n, best = heapq.heappop(heap)
-        if total.get(best) != -n:
-            continue
-        a, b, new = best >> 32, best & 0xFFFFFFFF, len(names)
-        names.append(names[a] + names[b])
-        at = np.unique(np.concatenate(places.pop(best)))
-        at = at[(ids[at] == a) & (after[at] >= 0)]
-        at = at[ids[after[at]] == b]
-        if a == b:  # in a run of one id every second place starts a merge
-            start = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])
-            run = np.repeat(start, np.diff(np.r_[start, len(at)]))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
-        second, left = after[at], before[at]
-        changed = set(count(np.unique(np.r_[left[left >= 0], at, second]), -1))
-        ids[at], ids[second], after[at] = new, -1, after[second]
-        right = after[at]
-        before[right[right >= 0]] = at[right >= 0]
-        left = before[at]
-        changed.update(count(np.unique(np.r_[left[left >= 0], at]), 1))
-        push(changed)
-    return {name: i for i, name in enumerate(names)} if len(set(names)) == len(names) else {n: i for i, n in enumerate(dict.fromkeys(names))}
-
-
-def train_vocabulary(docs: DataFrame, size: int = 8192, doc_cap: int | None = 10_000, order: str | None = None, max_chars: int = 1_000_000_000) -> dict[bytes, int]:
-    """Merge ranks; `size` counts the special tokens too. Counting is distributed, merging sees every distinct pre-token that has a pair.
 
+def _slots(spark: SparkSession) -> int:
+    """Tasks that the executors can run at once; 1 if executors come and go, as these can't wait for each other."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 1
+    context = spark.sparkContext._jsc.sc()
+    return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
+def train_vocabulary(docs: DataFrame, size: int = 8192, doc_cap: int | None = 10_000, order: str | None = None, max_chars: int = 1_000_000_000, share: int = SHARE) -> dict[bytes, int]:
+    """Merge ranks; `size` counts the special tokens too. Merging sees every distinct pre-token that has a pair.
+
+    Pre-tokens are counted and merged by executors, about `share` of their bytes in each task; only the ranks come to the driver.
     With `order`, an integer column, learning stops at the document whose capped text reaches `max_chars` characters in that
-    order, which bounds what the driver gets; rows without an order are left out. Else all rows count.
+    order; rows without an order are left out. Else all rows count.
     """
     if order:
         docs = char_budget(docs.select(order, "text"), order, "text", max_chars, doc_cap or max_chars)
-    words = pretoken_counts(docs, doc_cap=doc_cap).where(F.octet_length("token") > 1).select(F.col("token").cast("binary").alias("token"), "n").toPandas()
-    return learn_merges(list(zip(map(bytes, words["token"]), words["n"].tolist(), strict=True)), size - len(SPECIAL_TOKENS))
+    scratch = Scratch(docs.sparkSession, "pretokens")
+    words = scratch.write(pretoken_counts(docs, doc_cap=doc_cap).where(F.octet_length("token") > 1).select(F.col("token").cast("binary").alias("token"), "n"), "words")
+    size_of = words.agg(F.sum(F.octet_length("token"))).first()[0] or 0
+    tasks = min(_slots(docs.sparkSession), max(1, size_of // share))
+    learned = words.repartition(tasks).mapInPandas(M.learner(size - len(SPECIAL_TOKENS), M.Peers if tasks > 1 else M.Alone), "rank int, token binary", barrier=tasks > 1)
+    names = [bytes(r["token"]) for r in sorted(learned.collect(), key=lambda r: r["rank"])]  # a row for each id
+    scratch.drop("words")
+    return _ranks(names)
 
 
 def trained(docs: DataFrame, path: str, **options) -> dict[bytes, int]:

@@ -269,6 +269,22 @@ def test_vocabulary_stops_at_its_budget(spark):
     assert K.train_vocabulary(docs.where("false"), size=300, order="doc_id") == {bytes([i]): i for i in range(256)}
 
 
+def test_vocabulary_words_stay_with_the_executors(spark, monkeypatch):
+    import random
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=200))) for i in range(60)], "doc_id long, text string")
+    counts = [(r["token"].encode(), r["n"]) for r in K.pretoken_counts(docs).collect() if len(r["token"].encode()) > 1]
+    for name in ("toPandas", "toArrow", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, None)  # only ranks come to the driver
+    one = K.train_vocabulary(docs, size=500, order="doc_id")
+    assert list(one) == list(K.learn_merges(counts, 496)) and len(one) > 400
+    assert list(K.train_vocabulary(docs, size=500, order="doc_id", share=5_000)) == list(one)  # words in four tasks
+
+
 def test_merges_are_the_most_frequent_pairs():
     import random
 
