@@ -6,12 +6,15 @@ the Witten-Bell rule, and scored from the longest kept suffix.
 
 Upper layer: a symbol is one of the LISTED most frequent words, the end of the text, or the first two
 bytes of any other word. Contexts are suffixes of the text before: the last two bytes of the word
-before, that whole word, and, if the words are frequent, the word before it as well. Contexts of
-listed words have a share of P_UPPER or more, so every worker holds them. Any other word is a context
-from MASS occurrences on: their number grows with the corpus, so their counts stay in a table that is
-dealt out by ranges of hashes, and the positions behind such words are looked up there. Counts and
+before, that whole word, and the word before it as well. Contexts of listed words, and pairs of the
+FAR and NEAR most frequent ones, have a share of P_UPPER or more, so every worker holds them. Any
+other word and any other pair of words, below that share too, is a context from MASS occurrences on:
+their number grows with the corpus, so their counts stay in a table that is dealt out by ranges of
+hashes, and the positions behind them are looked up there, the pair smoothed towards the word. Pairs
+whose nearer word isn't listed lie in the range of that word, so one look-up has both; a table of
+SLOT_BITS, of one size whatever the corpus, spares most look-ups of pairs that aren't kept. Counts and
 look-ups travel as packed arrays, one for each range and some hundred thousand positions. A context
-is named by 52 bits of its word's hash; two words that share them would share a distribution.
+is named by 52 bits of a hash; two that share them would share a distribution.
 Lower layer: the bytes of words that aren't listed, the closing space included, in contexts of up to
 DEPTH bytes of the same word and its opening space, whose share of all symbols is at least P_MIN; it
 gives the rest of a word after its first two bytes, mixed with the word's own count.
@@ -46,8 +49,10 @@ DEPTH, P_MIN, DIVERGENCE = 12, 5e-5, 8.0
 LISTED, PREFIXES, WHOLE, FAR, NEAR = 1024, 511, 1024, 64, 64
 #: Upper contexts are kept from this share of all tokens on.
 P_UPPER = 1e-5
-#: Whole words that aren't listed are contexts from so many occurrences on; so many distinct words make a range of hashes.
-MASS, RANGE = 2, 50_000
+#: Words that aren't listed, and pairs, are contexts from so many occurrences on; so many distinct words, or tokens, make a range of hashes.
+MASS, RANGE, RANGE_TOKENS = 2, 50_000, 400_000
+#: Bits of a code that number the places of a table of bits, which says what may be kept; MOST_BITS of them may number ranges.
+SLOT_BITS, MOST_BITS = 26, 20
 #: Positions summed at once, counts held before they are passed on, and look-ups passed on at once.
 STEP, HELD_CODES, ASKED = 1_000_000, 3_000_000, 400_000
 #: Most frequent words that every worker holds, each of at most HELD_BYTES; other words are joined.
@@ -345,25 +350,62 @@ class Symbols:
         pair = np.where((far > 0) & (far <= FAR), far * (NEAR + 1) + np.where(near <= NEAR, near, 0), -1)
         return number, symbol, suffix, whole, pair
 
-    def rare(self, texts: list[list[bytes]], number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The codes, without symbols, of the words before the tokens, 0 where wanted[number of that word] is false or none is before."""
-        out = np.zeros(len(number), np.uint64)
+    def hashes(self, texts: list[list[bytes]], number: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """A hash of each token, of those with a number from known; that of an end is 0."""
+        out = known[number]
         at = np.delete(np.arange(len(number)), np.cumsum([len(t) + 1 for t in texts]) - 1)
-        new = wanted[number[at]]
-        out[at[new] + 1] = rare_codes(compress(chain.from_iterable(texts), new.tolist()), np.count_nonzero(new))
+        new = number[at] == 0
+        out[at[new]] = word_hashes(compress(chain.from_iterable(texts), new.tolist()), np.count_nonzero(new))
         return out
 
+    def open_codes(self, texts: list[list[bytes]], number: np.ndarray, h: np.ndarray, wanted: np.ndarray, pair: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The codes, without symbols, of the words before the tokens (0 where wanted[its number] is false or none is before), and of the two words before.
 
-def rare_codes(words, n: int) -> np.ndarray:
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        Those of pairs of the FAR and NEAR most frequent words are their numbers' codes.
+        """
+        rare, pairs = np.zeros(len(number), np.uint64), np.zeros(len(number), np.uint64)
+        sizes = np.array([len(t) + 1 for t in texts])
+        place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(place > 0)
+        at = at[wanted[number[at - 1]]]
+        rare[at] = _code(h[at - 1])
+        at = np.flatnonzero(place > 1)
+        near = number[at - 1]
+        mixed = _mix(_mix(h[at - 1] * _M + h[at - 2]))
+        top = h[at - 1] >> np.uint64(64 - bits) << np.uint64(64 - bits)
+        mixed = np.where((near > 0) & (near <= LISTED), mixed, top | mixed >> np.uint64(bits))
+        pairs[at] = np.where(both_frequent(pair[at]), listed_codes(2, np.maximum(pair[at], 0)), _code(mixed))
+        return rare, pairs
+
+
+def both_frequent(pair: np.ndarray) -> np.ndarray:
+    """Whether a pair's number names both of its words, not only the farther one."""
+    return (pair >= 0) & (pair % (NEAR + 1) > 0)
+
+
+def word_hashes(words, n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+
+
+def _code(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(12)) << np.uint64(1) | np.uint64(1)) << _SYMBOL
 
 
+def rare_codes(words, n: int) -> np.ndarray:
+    return _code(word_hashes(words, n))
+
+
 def listed_codes(level: int, context: np.ndarray) -> np.ndarray:
     number = ((level + 1) << 28 | context).astype(np.uint64)
     return (number * np.uint64(_ODD) & _LOW52) << np.uint64(12)
 
 
+def listed_numbers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, context) of listed_codes."""
+    number = ((codes >> np.uint64(12)) * np.uint64(_BACK) & _LOW52).astype(np.int64)
+    return (number >> 28) - 1, number & 0xFFFFFFF
+
+
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes)
     codes, n = codes[order], n[order]
@@ -378,12 +420,16 @@ def _ranges(codes: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
     return where[first], [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(codes)], strict=True)]
 
 
-def context_codes(symbols: Symbols, bits: int):
-    """A mapInPandas function: training texts to packed counts of (context, symbol), a row for each range; each task sums before it emits."""
+def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
+    """A mapInPandas function: training texts to packed counts of (context, symbol), a row for each range; each task sums before it emits.
+
+    pairs: those of two words that aren't both among the most frequent ones, too.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, sums, held, n_held = np.empty(0, np.uint64), np.empty(0, np.uint32), [], 0
         unlisted = np.arange(LISTED + 1) == 0
+        known = np.r_[np.zeros(1, np.uint64), word_hashes(symbols.ids, len(symbols.ids))]
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             new, n = np.unique(np.concatenate(held), return_counts=True)
@@ -401,8 +447,9 @@ def context_codes(symbols: Symbols, bits: int):
                 number, symbol, *levels = symbols.read(part, symbols.ids)
                 symbol = symbol.astype(np.uint64)
                 held += [listed_codes(level, c[ok]) | symbol[ok] for level, c in enumerate(levels) for ok in [c >= 0]]
-                rare = symbols.rare(part, number, unlisted)
-                held.append(rare[rare > 0] | symbol[rare > 0])
+                rare, both = symbols.open_codes(part, number, symbols.hashes(part, number, known), unlisted, levels[2], bits)
+                both[both_frequent(levels[2])] = 0  # counted above
+                held += [x[x > 0] | symbol[x > 0] for x in ([rare, both] if pairs else [rare])]
                 n_held += len(symbol)
                 if n_held > STEP:
                     (codes, sums), n_held = merged(), 0
@@ -435,10 +482,11 @@ def _joined(blobs, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
-def kept_contexts(root: np.ndarray, total: float, held: np.ndarray):
+def kept_contexts(root: np.ndarray, total: float, held: np.ndarray, bits: int = 8):
     """A mapInPandas function: packed counts in the order of ranges to those of the contexts that diverge from the empty one (root: its probabilities).
 
-    Listed and rare contexts apart, and which of the held words' contexts were kept.
+    Listed and rare contexts apart (the latter include frequent words' pairs below the share), which of the held words' contexts were
+    kept, and the range's part of the table of bits for rare ones.
     """
     logs = np.log(root)
 
@@ -449,15 +497,28 @@ def kept_contexts(root: np.ndarray, total: float, held: np.ndarray):
             first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
             names, seen, mass = context[first], np.diff(np.r_[first, len(codes)]), np.add.reduceat(n, first)
             gain = np.add.reduceat(n * (np.log(n) - logs[(codes & np.uint64(2047)).astype(np.int64)]), first) - mass * np.log(mass)
-            rare = (names & np.uint64(1)) > 0
+            level, number = listed_numbers(names << _SYMBOL)
+            rare = ((names & np.uint64(1)) > 0) | (level == 2) & both_frequent(number) & (mass < P_UPPER * total)
             good = (gain >= DIVERGENCE * seen) & (mass >= np.where(rare, MASS, P_UPPER * total))
             some = [np.repeat(good & x, seen) for x in (~rare, rare)]
-            found = held[np.isin(held >> _SYMBOL, names[good])]
-            yield pd.DataFrame({"bucket": bucket, "rare": [False, True], "codes": [codes[x].tobytes() for x in some], "n": [n[x].tobytes() for x in some], "held": [b"", found.tobytes()]})
+            found = held[held >> np.uint64(64 - bits) == bucket]
+            found = found[np.isin(found >> _SYMBOL, names[good])]
+            slots = np.zeros(1 << (SLOT_BITS - bits), bool)
+            slots[_slot(names[good & rare] << _SYMBOL) & (len(slots) - 1)] = True
+            yield pd.DataFrame({"bucket": bucket, "rare": [False, True], "codes": [codes[x].tobytes() for x in some], "n": [n[x].tobytes() for x in some], "held": [b"", found.tobytes()], "slots": [b"", np.packbits(slots).tobytes()]})
 
     return run
 
 
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _may_be_kept(codes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    at = _slot(codes)
+    return slots[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+
 class Distributions:
     """Counts of the rare contexts of one range, ascending by code."""
 
@@ -467,14 +528,19 @@ class Distributions:
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])[: len(codes)]
         self.names, self.seen = context[first], np.diff(np.r_[first, len(codes)])
         self.mass = np.add.reduceat(n, first) if len(first) else n
+        self.slots = np.zeros(int(_SLOTS) + 1, bool)
+        self.slots[self.names & _SLOTS] = True
 
     def gains(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
         """What the log10 probability of each (context, symbol) gains over p, that of its longest listed suffix; 0 if the context isn't kept."""
         out = np.zeros(len(codes))
-        at = np.flatnonzero(_within(codes >> _SYMBOL, self.names))
+        context = codes >> _SYMBOL
+        at = np.flatnonzero(self.slots[context & _SLOTS])
         if len(at):
+            row = np.minimum(np.searchsorted(self.names, context[at]), len(self.names) - 1)
+            there = self.names[row] == context[at]
+            at, row = at[there], row[there]
             code, p = codes[at], p[at].astype(np.float64)
-            row = np.searchsorted(self.names, code >> _SYMBOL)
             i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             n = np.where(self.codes[i] == code, self.n[i], 0)
             out[at] = np.log10((n + self.seen[row] * p) / ((self.mass[row] + self.seen[row]) * p))
@@ -483,7 +549,7 @@ class Distributions:
 
 TABLE, ASK, PART, ANSWER = range(4)
 #: What one scan of the texts yields: rows of parts, and packed positions to look up; then the answers to these.
-MIXED = "kind int, bucket int, row long, doc_id string, held_out boolean, n_tokens long, known long, base double, own double, rest array<binary>, times array<int>, codes binary, rows binary, n binary"
+MIXED = "kind int, bucket int, row long, doc_id string, held_out boolean, n_tokens long, known long, base double, own double, rest array<binary>, times array<int>, codes binary, pairs binary, rows binary, n binary"
 
 
 def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,6 +567,7 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now, table = buckets[i], Distributions(codes, n)
             elif buckets[i] == now:
                 gains = table.gains(codes, n)
+                gains += table.gains(np.frombuffer(batch.column("pairs")[i].as_buffer(), np.uint64), n * 10**gains)
                 rows = np.frombuffer(batch.column("rows")[i].as_buffer(), np.uint32)
                 hit = gains != 0
                 rows, inverse = np.unique(rows[hit], return_inverse=True)
@@ -606,14 +673,19 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     root = np.zeros(symbols.size)
     root[1 : len(listed) + 1], root[symbols.end] = first["c"], ends
     np.add.at(root, symbols.of_prefix[prefix_number], stats["c"])
-    bits = min(20, max(8, math.ceil(math.log2(max(1, v) / RANGE))))
+    bits = min(MOST_BITS, max(8, math.ceil(math.log2(max(1, v) / RANGE)), math.ceil(math.log2(max(1, n) / RANGE_TOKENS))))
     held_codes = np.sort(rare_codes(held_words[LISTED:], len(held_words[LISTED:])))
-    counts = docs.select("text", "held_out").mapInPandas(context_codes(symbols, bits), "bucket int, codes binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
-    kept = kept_contexts((root + 0.5) / (root.sum() + 0.5 * symbols.size), root.sum(), held_codes)
-    contexts = scratch.write(counts.mapInPandas(kept, "bucket int, rare boolean, codes binary, n binary, held binary"), "contexts")
+    counts = docs.select("text", "held_out").mapInPandas(context_codes(symbols, bits, pairs=True), "bucket int, codes binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    kept = kept_contexts((root + 0.5) / (root.sum() + 0.5 * symbols.size), root.sum(), held_codes, bits)
+    contexts = scratch.write(counts.mapInPandas(kept, "bucket int, rare boolean, codes binary, n binary, held binary, slots binary"), "contexts")
     got = contexts.where(~F.col("rare")).select("codes", "n").toPandas()
     upper = Upper(root, _joined(got["codes"], np.uint64), _joined(got["n"], np.float64))
-    found = _joined(contexts.where("rare").select("held").toPandas()["held"], np.uint64)
+    got = contexts.where("rare").select("bucket", "held", "slots").toPandas()  # as many bits as the table has, and held words' contexts
+    found = _joined(got["held"], np.uint64)
+    slots = np.zeros((1 << bits, 1 << (SLOT_BITS - bits - 3)), np.uint8)
+    slots[got["bucket"].to_numpy(np.int64)] = _joined(got["slots"], np.uint8).reshape(-1, slots.shape[1])
+    slots = slots.reshape(-1)
+    hashes = np.r_[np.zeros(1, np.uint64), word_hashes(held_words, len(held_words))]
     wanted = np.arange(len(held_words) + 1) == 0  # what isn't held is always looked up
     wanted[LISTED + 1 :] = np.isin(rare_codes(held_words[LISTED:], len(held_words[LISTED:])), found)
 
@@ -624,13 +696,14 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
         asked, n_asked, start = [], 0, 0
 
         def packed() -> pd.DataFrame:
-            codes, rows, p = (np.concatenate(x) for x in zip(*asked, strict=True))
+            codes, pairs, rows, p = (np.concatenate(x) for x in zip(*asked, strict=True))
             asked.clear()
-            order = np.argsort(codes)
-            codes, rows, p = codes[order], rows[order], p[order]
-            ranges, at = _ranges(codes, bits)
+            key = np.where(pairs > 0, pairs, codes)
+            order = np.argsort(key)
+            codes, pairs, rows, p = codes[order], pairs[order], rows[order], p[order]
+            ranges, at = _ranges(key[order], bits)
             empty = {"doc_id": None, "held_out": False, "n_tokens": 0, "known": 0, "base": 0.0, "own": 0.0, "rest": None, "times": None}
-            return pd.DataFrame({"kind": ASK, "bucket": ranges, "row": start, "codes": [codes[x].tobytes() for x in at], "rows": [rows[x].tobytes() for x in at], "n": [p[x].tobytes() for x in at]}).assign(**empty)
+            return pd.DataFrame({"kind": ASK, "bucket": ranges, "row": start, "codes": [codes[x].tobytes() for x in at], "pairs": [pairs[x].tobytes() for x in at], "rows": [rows[x].tobytes() for x in at], "n": [p[x].tobytes() for x in at]}).assign(**empty)
 
         for frame in frames:
             for i in range(0, len(frame), 128):
@@ -644,17 +717,19 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
                 base = np.where(number > 0, held_base[number], 0)
                 base[starts + sizes - 1] = held_base[0]
                 p = upper.probability(symbol, suffix, whole, pair)
-                rare = symbols.rare(texts, number, wanted)
-                behind = np.flatnonzero(rare)
+                rare, both = symbols.open_codes(texts, number, symbols.hashes(texts, number, hashes), wanted, pair, bits)
+                both[both_frequent(pair) & (upper.pair[pair] >= 0) | ~_may_be_kept(both, slots)] = 0  # what a worker holds, or what isn't kept
+                behind = np.flatnonzero((rare > 0) | (both > 0))
                 if len(behind):
                     row = part["row"].to_numpy()
                     start = start if asked else int(row[0])
-                    asked.append((rare[behind] | symbol[behind].astype(np.uint64), np.repeat(row - start, sizes)[behind].astype(np.uint32), p[behind].astype(np.float32)))
+                    rare, both = ((x := c[behind]) | np.where(x > 0, symbol[behind], 0).astype(np.uint64) for c in (rare, both))
+                    asked.append((rare, both, np.repeat(row - start, sizes)[behind].astype(np.uint32), p[behind].astype(np.float32)))
                     n_asked += len(behind)
                 own = np.log10(p) + held_log[number]
                 rest = [Counter(t[j] for j in np.flatnonzero(number[s : s + len(t)] == 0).tolist()) for s, t in zip(starts.tolist(), texts, strict=True)]
                 sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, own)]
-                yield pd.DataFrame({"kind": PART, "bucket": part["row"] % (1 << bits), "row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": sizes, "known": sums[0], "base": sums[1], "own": sums[2], "rest": [list(c) for c in rest], "times": [list(c.values()) for c in rest], "codes": None, "rows": None, "n": None})
+                yield pd.DataFrame({"kind": PART, "bucket": part["row"] % (1 << bits), "row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": sizes, "known": sums[0], "base": sums[1], "own": sums[2], "rest": [list(c) for c in rest], "times": [list(c.values()) for c in rest], "codes": None, "pairs": None, "rows": None, "n": None})
                 if n_asked > ASKED:
                     yield packed()
                     n_asked = 0

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tessella.llm import chat, quality, suffix_tree, toxicity
@@ -268,6 +269,86 @@ def test_rare_contexts_by_the_rules():
     assert (upper.whole >= 0).sum() == len(listed) and np.allclose(upper.suffix_rows.sum(1), 1, atol=1e-4)
 
 
+def test_pairs_of_any_words_are_contexts(spark):
+    """Behind two words that aren't both among the most frequent: the scores by the rules, beyond those of listed contexts."""
+    M = suffix_tree
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tru", "ves", "pon", "gar", "hil", "dez", "sul") for b in ("n", "st", "ring", "e", "o", "a", "u", "im", "ek", "or", "ap", "yl")]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(120)]
+    docs += [(1000 + i, docs[i % 40][1]) for i in range(60)]
+    train = [M.tokens_of(t) for k, t in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    count = Counter(w for t in train for w in t)
+    listed = {w: i for i, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0])), 1)}
+    assert len(listed) > M.NEAR
+    size = M.LISTED + 2 + M.PREFIXES
+    root, seen = Counter(), {}
+
+    def states(t):
+        for i, s in enumerate([*t, None]):
+            near, far = (t[i - 1], t[i - 2]) if i > 1 else (t[0] if i else None, None)
+            n, m = listed.get(near, 0), listed.get(far, 0)
+            levels = [("s", (b" " + near)[-2:] if near else b"\n"), ("w", n) if n else None, ("p", m, n if n <= M.NEAR else 0) if 0 < m <= M.FAR else None]
+            yield s, levels, ("open", far, near) if i > 1 and not (m <= M.FAR and n <= M.NEAR) else None
+
+    for t in train:
+        for s, levels, pair in states(t):
+            root[s] += 1
+            for c in filter(None, [*levels, pair]):
+                seen.setdefault(c, Counter())[s] += 1
+    total = sum(root.values())
+    p0 = lambda s: (root[s] + 0.5) / (total + 0.5 * size)
+    kept = {c for c, x in seen.items() if (c[0] != "open" or sum(x.values()) >= M.MASS) and sum(n * math.log(n / sum(x.values()) / p0(s)) for s, n in x.items()) >= M.DIVERGENCE * len(x)}
+    assert sum(c[0] == "open" for c in kept) > 100
+    got = {r["doc_id"]: r["score"] for r in M.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, text in docs:
+        t, want = M.tokens_of(text), 0.0
+        if any(w not in listed for w in t):
+            continue
+        for s, levels, pair in states(t):
+            p = p0(s)
+            for c in (*levels, pair):
+                if c in kept:
+                    n = sum(seen[c].values())
+                    p = (seen[c][s] + len(seen[c]) * p) / (n + len(seen[c]))
+            want += math.log10(p)
+        assert abs(got[k] - want) < 1e-3 + 1e-4 * abs(want)
+
+
+def test_pair_behind_a_rare_word():
+    """A pair whose nearer word isn't listed lies in that word's range and is smoothed towards it; frequent pairs below the share are kept there too."""
+    M = suffix_tree
+    listed, rare = [b"ka", b"lo", b"mi"], [b"tru", b"ves", b"pon"]
+    symbols = M.Symbols(listed, [(w[0] << 8) | w[1] for w in rare])
+    texts = [[b"ka", b"tru", b"lo"]] * 3 + [[b"lo", b"tru", b"mi"]] * 3 + [[b"ves", b"tru", b"ka"]] + [[b"ka", b"lo", b"pon"]] * 4
+    p0 = np.full(symbols.size, 1e-4)
+    frame = pd.DataFrame({"text": [b" ".join(t).decode() for t in texts], "held_out": False})
+    counts = pd.concat(M.context_codes(symbols, 9, pairs=True)(iter([frame]))).sort_values("bucket", kind="stable")
+    out = pd.concat(M.kept_contexts(p0, 4 / M.P_UPPER + 1, np.empty(0, np.uint64), 9)(iter([counts])))
+    out = out[out["rare"]].set_index("bucket")
+    known = np.r_[np.zeros(1, np.uint64), M.word_hashes(symbols.ids, 3)]
+
+    def chance(text, i, p):
+        number, _, _, _, pair = symbols.read([text], symbols.ids)
+        word, both = M.Symbols.open_codes(symbols, [text], number, symbols.hashes([text], number, known), np.arange(4) == 0, pair, 9)
+        symbol = np.uint64(symbols.ids.get(text[i]) or symbols.of_prefix[(text[i][0] << 8) | text[i][1]])
+        assert not word[i] or word[i] >> np.uint64(55) == both[i] >> np.uint64(55)
+        row = out.loc[int(both[i] >> np.uint64(55))]
+        slots = np.zeros((512, 1 << (M.SLOT_BITS - 12)), np.uint8)
+        slots[int(both[i] >> np.uint64(55))] = np.frombuffer(row["slots"], np.uint8)
+        kind = lambda k, codes, pairs, rows, n: {"kind": k, "bucket": 0, "row": 7, "codes": codes, "pairs": pairs, "rows": rows, "n": n}
+        ask = kind(M.ASK, ((word[i] | symbol) if word[i] else word[i]).tobytes(), (both[i] | symbol).tobytes(), np.uint32(0).tobytes(), np.float32(p).tobytes())
+        schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("row", pa.int64()), ("codes", pa.binary()), ("pairs", pa.binary()), ("rows", pa.binary()), ("n", pa.binary())])
+        got = list(M.answered(iter([pa.RecordBatch.from_pylist([kind(M.TABLE, row["codes"], None, None, row["n"]), ask], schema)])))
+        return p * 10 ** (np.frombuffer(got[0].column("n")[0].as_py(), np.float32)[0] if got else 0), bool(M._may_be_kept(both[i : i + 1], slots.reshape(-1))[0])
+
+    after_word = (3 + 3 * 0.01) / (7 + 3)  # behind tru: lo and mi three times each, ka once
+    assert np.allclose(chance([b"ka", b"tru", b"lo"], 2, 0.01)[0], (3 + after_word) / (3 + 1), rtol=1e-4)
+    assert chance([b"ka", b"tru", b"lo"], 2, 0.01)[1]
+    assert np.allclose(chance([b"ves", b"tru", b"lo"], 2, 0.01)[0], after_word, rtol=1e-4)  # once only: no context
+    got, there = chance([b"ka", b"lo", b"pon"], 2, 0.01)
+    assert there and np.allclose(got, (4 + 0.01) / (4 + 1), rtol=1e-4)
+
+
 def least_cost(roles):
     best = {chat.START: 0}
     for r in roles:
