@@ -253,8 +253,9 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, held in zip(frame["text"], frame["held_out"], strict=True):
             words = tokens_of(text)
             if held:
-                for w in set(words).difference(seen):
-                    seen[w] = 0
+                for w in words:  # a set's difference with a Counter would walk through all of the Counter
+                    if w not in seen:
+                        seen[w] = 0
             else:
                 seen.update(words)
                 ends += 1

@@ -314,6 +314,21 @@ def test_pairs_of_any_words_are_contexts(spark):
         assert abs(got[k] - want) < 1e-3 + 1e-4 * abs(want)
 
 
+def test_held_out_texts_cost_their_own_words():
+    """Words of a held-out text are looked up one by one: the words counted before aren't walked through again for it."""
+    import time
+
+    def seconds(n: int) -> float:
+        texts = [" ".join(f"w{i}" for i in range(n)), *["a b a"] * 3_000]
+        frame = pd.DataFrame({"text": texts, "held_out": [False] + [True] * 3_000})
+        began = time.thread_time()
+        (out,) = suffix_tree._counted(iter([frame]))
+        assert out.dropna().set_index("word")["c"].loc[[b"w0", b"a", b"b"]].tolist() == [1, 0, 0] and len(out) == n + 3
+        return time.thread_time() - began
+
+    assert seconds(200_000) < seconds(10) + 3
+
+
 def test_pair_behind_a_rare_word():
     """A pair whose nearer word isn't listed lies in that word's range and is smoothed towards it; frequent pairs below the share are kept there too."""
     M = suffix_tree
