@@ -91,6 +91,17 @@ def features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.hstack([z, np.ones((len(x), 1))])
 
 
+def left_out_scores(x: np.ndarray, fold: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: list[np.ndarray], step: int = 1000) -> np.ndarray:
+    """Each row's score by the weights of its fold; features of `step` rows at a time, as all of them would take the driver many times the rows."""
+    out = np.zeros(len(x))
+    for k, w in enumerate(weights):
+        own = np.flatnonzero(fold == k)
+        for i in range(0, len(own), step):
+            at = own[i : i + step]
+            out[at] = features(x[at], mean, scale) @ w
+    return out
+
+
 def equations(mean: np.ndarray, scale: np.ndarray):
     """A mapInPandas function: labelled statistics to each fold's summed normal equations."""
 
@@ -136,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int
     got = rows.toPandas()  # at most `most` rows of some thirty numbers
     size = len(statistics(""))
     x, y, fold = np.array(got["x"].to_list(), float).reshape(-1, size), got["y"].to_numpy(float), got["fold"].to_numpy()
+    del got  # its objects take several times the numbers
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size), np.ones(size), np.zeros(FEATURES + 1), np.array([0.0]), np.array([float(y.mean()) if len(y) else 0.5]))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -149,9 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int
     scratch.drop("rows")
     ridge = RIDGE * len(y) * np.eye(size) / FEATURES
     ridge[-1, -1] = 1e-9
-    z, out = features(x, mean, scale), np.zeros(len(y))
-    for k in range(FOLDS):
-        out[fold == k] = z[fold == k] @ np.linalg.solve(a.sum(axis=0) - a[k] + ridge, b.sum(axis=0) - b[k])
+    out = left_out_scores(x, fold, mean, scale, [np.linalg.solve(a.sum(axis=0) - a[k] + ridge, b.sum(axis=0) - b[k]) for k in range(FOLDS)])
     return Model(mean, scale, np.linalg.solve(a.sum(axis=0) + ridge, b.sum(axis=0)), *isotonic(out, y))
 
 

@@ -109,6 +109,20 @@ def test_gradients():
     assert abs((up - loss()) / 2e-4 - dg[1, 2, 3]) < 1e-4
 
 
+def test_left_out_scores_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, fold = rng.normal(size=(20_000, 30)), rng.integers(0, quality.FOLDS, 20_000)
+    weights, mean, scale = list(rng.normal(size=(quality.FOLDS, quality.FEATURES + 1))), x.mean(axis=0), x.std(axis=0)
+    tracemalloc.start()
+    got = quality.left_out_scores(x, fold, mean, scale, weights)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16e6  # features of all rows at once: 41 MB, and several times that on the way
+    assert np.allclose(got, np.einsum("ij,ij->i", quality.features(x, mean, scale), np.array(weights)[fold]))
+
+
 def test_windows_cover_the_text():
     for n in range(0, 200):
         s = toxicity.windows_of(n)
