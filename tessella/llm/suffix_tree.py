@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_again, id_crc_mod, text_or_empty
+from .common import Scratch, give_back, id_again, id_crc_mod, text_or_empty
 
 DEPTH, P_MIN, DIVERGENCE = 12, 5e-5, 8.0
 #: Listed words, prefixes with a symbol of their own, words that are contexts, and such as pairs.
@@ -53,8 +53,8 @@ P_UPPER = 1e-5
 MASS, RANGE, RANGE_TOKENS = 2, 50_000, 400_000
 #: Bits of a code that number the places of a table of bits, which says what may be kept; MOST_BITS of them may number ranges.
 SLOT_BITS, MOST_BITS = 26, 20
-#: Positions summed at once, counts held before they are passed on, and look-ups passed on at once.
-STEP, HELD_CODES, ASKED = 1_000_000, 3_000_000, 400_000
+#: Positions summed at once, counts held before they are passed on, ranges of these in a batch, and look-ups passed on at once.
+STEP, HELD_CODES, TOGETHER, ASKED = 1_000_000, 3_000_000, 32, 400_000
 #: Most frequent words that every worker holds, each of at most HELD_BYTES; other words are joined.
 HELD, HELD_BYTES = 120_000, 48
 FLUSH = 300_000
@@ -244,6 +244,7 @@ def tokens_of(text: str) -> list[bytes]:
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words with their counts in training texts, 0 for those of held-out texts; a null word counts the training texts."""
+    give_back()
     seen, ends = Counter(), 0
 
     def rows(end: int) -> pd.DataFrame:
@@ -428,6 +429,7 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         codes, sums, held, n_held = np.empty(0, np.uint64), np.empty(0, np.uint32), [], 0
         unlisted = np.arange(LISTED + 1) == 0
         known = np.r_[np.zeros(1, np.uint64), word_hashes(symbols.ids, len(symbols.ids))]
@@ -437,9 +439,11 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
             held.clear()
             return _summed(np.concatenate([codes, new]), np.concatenate([sums, n.astype(np.uint32)]))
 
-        def packed() -> pd.DataFrame:
+        def packed() -> Iterator[pd.DataFrame]:
             ranges, parts = _ranges(codes, bits)
-            return pd.DataFrame({"bucket": ranges, "codes": [codes[x].tobytes() for x in parts], "n": [sums[x].astype(np.uint32).tobytes() for x in parts]})
+            for i in range(0, len(parts), TOGETHER):  # all at once would take several times the counts, here and in the JVM
+                some = parts[i : i + TOGETHER]
+                yield pd.DataFrame({"bucket": ranges[i : i + TOGETHER], "codes": [codes[x].tobytes() for x in some], "n": [sums[x].astype(np.uint32).tobytes() for x in some]})
 
         for frame in frames:
             texts = [tokens_of(t) for t, held_out in zip(frame["text"], frame["held_out"], strict=True) if not held_out]
@@ -455,12 +459,12 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
                 if n_held > STEP:
                     (codes, sums), n_held = merged(), 0
                     if len(codes) > HELD_CODES:
-                        yield packed()
+                        yield from packed()
                         codes, sums = codes[:0], sums[:0]
         if held:
             codes, sums = merged()
         if len(codes):
-            yield packed()
+            yield from packed()
 
     return run
 
@@ -492,6 +496,7 @@ def kept_contexts(root: np.ndarray, total: float, held: np.ndarray, bits: int =
     logs = np.log(root)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for bucket, part in _groups(frames, "bucket"):
             codes, n = _summed(_joined(part["codes"], np.uint64), _joined(part["n"], np.uint32).astype(np.float64))
             context = codes >> _SYMBOL
@@ -555,6 +560,7 @@ MIXED = "kind int, bucket int, row long, doc_id string, held_out boolean, n_toke
 
 def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of (bucket, kind): parts pass, positions become the sums of their gains for each document."""
+    give_back()
     now, table = None, None
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
@@ -660,11 +666,13 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     mass[0] = max(1e-9, 1 - mass.sum())
 
     def scored(frames):
+        give_back()
         for w, c in _chunks(frames, 50_000):
             own = (1 - beta) * c / other + beta * np.exp(np.maximum(tree.score(w)[1], -700))
             yield pd.DataFrame({"word": w, "c": c.astype(np.int64), "log": np.log10(np.minimum(1, own / mass[symbols.of_prefix[symbols.prefix(w)]]))})
 
     lexicon = scratch.write(lower.mapInPandas(scored, "word binary, c long, log double"), "lexicon")
+    scratch.drop("words")
     top = lexicon.where((F.col("c") > 0) & (F.octet_length("word") <= HELD_BYTES)).orderBy(F.desc("c"), "word").limit(HELD).toPandas()
     held_words = listed + top["word"].tolist()
     held_base = np.log10((np.r_[ends, first["c"].to_numpy(float), top["c"].to_numpy(float)] + 0.5) / scale)
@@ -691,6 +699,7 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     wanted[LISTED + 1 :] = np.isin(rare_codes(held_words[LISTED:], len(held_words[LISTED:])), found)
 
     def parts(frames):
+        give_back()
         held = {w: i for i, w in enumerate(held_words, 1)}
         if len(listed) < LISTED:  # fewer words than numbers: nothing else is held
             held = dict(symbols.ids)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Whether a query's shuffle files go as soon as it ends.
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +44,14 @@ class Scratch:
         return self.base
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table. Its shuffle files go once it is written: else they stay until the driver happens to collect its garbage."""
         self.made()
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        was = self.spark.conf.get(_CLEANED, "false")
+        self.spark.conf.set(_CLEANED, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        finally:
+            self.spark.conf.set(_CLEANED, was)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def size(self, name: str) -> int:

@@ -343,6 +343,18 @@ def test_held_out_texts_cost_their_own_words():
     assert seconds(200_000) < seconds(10) + 3
 
 
+def test_counts_leave_in_small_batches():
+    """Packed counts of all ranges in one batch took several times their size in the worker and its JVM."""
+    words = [f"w{i}" for i in range(3_000)]
+    frame = pd.DataFrame({"text": [" ".join(words)] * 2, "held_out": [False, True]})
+    symbols = suffix_tree.Symbols([w.encode() for w in words[:10]], [])
+    out = list(suffix_tree.context_codes(symbols, 8, pairs=True)(iter([frame])))
+    assert all(len(f) <= 32 for f in out)
+    buckets = np.concatenate([f["bucket"] for f in out])
+    assert len(set(buckets.tolist())) == len(buckets) > 200
+    assert sum(np.frombuffer(n, np.uint32).sum() for f in out for n in f["n"]) == 3_001 + 10 + 10 + 2 * 2_990
+
+
 def test_pair_behind_a_rare_word():
     """A pair whose nearer word isn't listed lies in that word's range and is smoothed towards it; frequent pairs below the share are kept there too."""
     M = suffix_tree

@@ -328,3 +328,18 @@ def test_generator_writes_all_attributes(spark):
             assert 1800 <= int(found["response_time_ms"]) <= 32000
     n = {r["shard"]: r["n"] for r in G.generate_corpus(spark).groupBy("shard").agg(F.countDistinct("session_id").alias("n")).collect()}
     assert n == dict.fromkeys([*range(20), 6542], 1000)
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    """What a written table was shuffled through goes with the write, not when the driver happens to collect its garbage."""
+    from tessella.sources.scratch import Scratch
+
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for i in range(found.size()) if "/shuffle_" in (x := str(found.apply(i)))}
+
+    scratch, before = Scratch(spark, "cleaned"), files()
+    table = scratch.write(spark.range(1000).repartition(3, "id"), "dealt")
+    assert not files() - before
+    assert table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
