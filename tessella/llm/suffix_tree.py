@@ -33,13 +33,13 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, id_again, id_crc_mod, text_or_empty
@@ -54,10 +54,12 @@ MASS, RANGE, RANGE_TOKENS = 2, 50_000, 400_000
 #: Bits of a code that number the places of a table of bits, which says what may be kept; MOST_BITS of them may number ranges.
 SLOT_BITS, MOST_BITS = 26, 20
 #: Positions summed at once, counts held before they are passed on, ranges of these in a batch, and look-ups passed on at once.
-STEP, HELD_CODES, TOGETHER, ASKED = 1_000_000, 3_000_000, 32, 400_000
+STEP, HELD_CODES, TOGETHER, ASKED = 250_000, 3_000_000, 32, 400_000
 #: Most frequent words that every worker holds, each of at most HELD_BYTES; other words are joined.
 HELD, HELD_BYTES = 120_000, 48
 FLUSH = 300_000
+#: Bytes of an Arrow batch, about: rows of packed arrays are large, and Spark's 64 MB would lie in the JVM and the worker several times.
+BATCH = 8_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: A code is 52 bits of a context, a bit that marks rare ones, and 11 bits of a symbol. Listed contexts are numbers, spread by an odd factor.
 _SLOTS, _LOW52, _ODD = np.uint64(2**20 - 1), np.uint64(2**52 - 1), 0x9E3779B97F4A7 | 1
@@ -75,10 +77,10 @@ class Contexts:
     def __init__(self, words: list[bytes], weights: np.ndarray):
         self.text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
         spaces = np.flatnonzero(self.text == 32)
-        self.word = np.repeat(np.arange(len(words)), np.diff(spaces))
-        self.position = np.arange(1, len(self.text))
-        self.reach = self.position - spaces[self.word]
-        self.symbol = self.text[1:].astype(np.uint64)
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(spaces))
+        self.position = np.arange(1, len(self.text), dtype=np.int32)
+        self.reach = self.position - spaces.astype(np.int32)[self.word]
+        self.symbol = self.text[1:]
         self.weight = weights[self.word].astype(np.float64)
 
     def walk(self, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -333,9 +335,8 @@ class Symbols:
         """
         sizes = np.array([len(t) + 1 for t in texts])
         ends = np.cumsum(sizes) - 1
-        get = ids.get
         number = np.zeros(sizes.sum(), np.int64)
-        number[np.delete(np.arange(len(number)), ends)] = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, len(number) - len(texts))
+        number[np.delete(np.arange(len(number)), ends)] = np.fromiter(map(ids.get, chain.from_iterable(texts), repeat(0)), np.int64, len(number) - len(texts))
         raw = np.frombuffer(b" ".join([b" ".join([*t, b"\n"]) for t in texts]) + b"  ", np.uint8).astype(np.int64)
         stop = np.flatnonzero(raw == 32)[: len(number)]
         start = np.r_[0, stop[:-1] + 1]
@@ -415,9 +416,25 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _added(codes: np.ndarray, n: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending codes and their counts (changed in place) with the codes of held added, and held emptied; what is in order already isn't sorted again."""
+    new = np.concatenate(held)
+    held.clear()
+    new.sort()
+    first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])[: len(new)]
+    times, new = np.diff(np.r_[first, len(new)]).astype(n.dtype), new[first]
+    if not len(codes):
+        return new, times
+    at = np.searchsorted(codes, new)
+    known = codes[np.minimum(at, len(codes) - 1)] == new
+    n[at[known]] += times[known]
+    at, new, times = at[~known], new[~known], times[~known]
+    return np.insert(codes, at, new), np.insert(n, at, times)
+
+
 def _ranges(codes: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
     """The ranges that ascending codes fall into, and the codes of each."""
-    where = (codes >> np.uint64(64 - bits)).astype(np.int64)
+    where = (codes >> np.uint64(64 - bits)).view(np.int64)
     first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])[: len(codes)]
     return where[first], [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(codes)], strict=True)]
 
@@ -434,11 +451,6 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
         unlisted = np.arange(LISTED + 1) == 0
         known = np.r_[np.zeros(1, np.uint64), word_hashes(symbols.ids, len(symbols.ids))]
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return _summed(np.concatenate([codes, new]), np.concatenate([sums, n.astype(np.uint32)]))
-
         def packed() -> Iterator[pd.DataFrame]:
             ranges, parts = _ranges(codes, bits)
             for i in range(0, len(parts), TOGETHER):  # all at once would take several times the counts, here and in the JVM
@@ -446,9 +458,9 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
                 yield pd.DataFrame({"bucket": ranges[i : i + TOGETHER], "codes": [codes[x].tobytes() for x in some], "n": [sums[x].astype(np.uint32).tobytes() for x in some]})
 
         for frame in frames:
-            texts = [tokens_of(t) for t, held_out in zip(frame["text"], frame["held_out"], strict=True) if not held_out]
+            texts = frame["text"][~frame["held_out"].astype(bool)].tolist()
             for i in range(0, len(texts), 256):
-                part = texts[i : i + 256]
+                part = [tokens_of(t) for t in texts[i : i + 256]]
                 number, symbol, *levels = symbols.read(part, symbols.ids)
                 symbol = symbol.astype(np.uint64)
                 held += [listed_codes(level, c[ok]) | symbol[ok] for level, c in enumerate(levels) for ok in [c >= 0]]
@@ -457,12 +469,12 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
                 held += [x[x > 0] | symbol[x > 0] for x in ([rare, both] if pairs else [rare])]
                 n_held += len(symbol)
                 if n_held > STEP:
-                    (codes, sums), n_held = merged(), 0
+                    (codes, sums), n_held = _added(codes, sums, held), 0
                     if len(codes) > HELD_CODES:
                         yield from packed()
                         codes, sums = codes[:0], sums[:0]
         if held:
-            codes, sums = merged()
+            codes, sums = _added(codes, sums, held)
         if len(codes):
             yield from packed()
 
@@ -637,12 +649,21 @@ class Upper:
         return p
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most BATCH bytes: the setting is read when a plan runs, and score's runs after it returns."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     """The report's columns for every row of docs (doc_id, text); null texts are empty, an empty text is its end alone.
 
     Rows of equal ids are scored one by one. With nothing to learn from, all counts are 0.
     """
     scratch = Scratch(docs.sparkSession, "suffix-tree")
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", text_or_empty("text").alias("text"), (id_crc_mod("doc_id", held_mod) == held_is).alias("held_out"))
     words = scratch.write(docs.select("text", "held_out").mapInPandas(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     r = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
@@ -698,10 +719,15 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     wanted = np.arange(len(held_words) + 1) == 0  # what isn't held is always looked up
     wanted[LISTED + 1 :] = np.isin(rare_codes(held_words[LISTED:], len(held_words[LISTED:])), found)
 
+    # Within the function it would lie in each worker twice, packed and unpacked.
+    shared = docs.sparkSession.sparkContext.broadcast((upper, held_words, held_base, held_log, slots, hashes, wanted))
+    n_listed = len(listed)
+
     def parts(frames):
         give_back()
+        upper, held_words, held_base, held_log, slots, hashes, wanted = shared.value
         held = {w: i for i, w in enumerate(held_words, 1)}
-        if len(listed) < LISTED:  # fewer words than numbers: nothing else is held
+        if n_listed < LISTED:  # fewer words than numbers: nothing else is held
             held = dict(symbols.ids)
         asked, n_asked, start = [], 0, 0
 
@@ -751,6 +777,7 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     mixed = rows.mapInPandas(parts, MIXED).unionByName(tables, allowMissingColumns=True)
     mixed = scratch.write(mixed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, MIXED), "parts")
     scratch.drop("contexts")
+    shared.unpersist()
     part = id_again(mixed.where(F.col("kind") == PART), docs)
     gains = mixed.where(F.col("kind") == ANSWER).select("row", "rows", "n").repartition("row").sortWithinPartitions("row").mapInPandas(answers, "row long, s double")
     rest = part.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("k"))

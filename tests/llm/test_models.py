@@ -355,6 +355,49 @@ def test_counts_leave_in_small_batches():
     assert sum(np.frombuffer(n, np.uint32).sum() for f in out for n in f["n"]) == 3_001 + 10 + 10 + 2 * 2_990
 
 
+def test_counting_takes_little_memory():
+    """Two workers and their JVM share an executor: what counts hold beside themselves was several times their 9 MB."""
+    import tracemalloc
+
+    rng, words = np.random.default_rng(1), [f"w{i}" for i in range(200_000)]
+    symbols = suffix_tree.Symbols([w.encode() for w in words[:1024]], [])
+    texts = [[" ".join(words[i] for i in (rng.zipf(1.3, 1_000) % 200_000).tolist()) for _ in range(100)] for _ in range(12)]
+    tracemalloc.start()
+    try:
+        out = sum(sum(map(len, f["codes"])) for f in suffix_tree.context_codes(symbols, 8, pairs=True)(pd.DataFrame({"text": t, "held_out": False}) for t in texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out > 700_000 * 8 and peak < 60e6
+
+
+def test_counts_are_added():
+    codes, n = np.empty(0, np.uint64), np.empty(0, np.uint32)
+    rng, want = np.random.default_rng(2), Counter()
+    for size in (0, 5, 300, 1, 0, 300):
+        new = rng.integers(0, 200, size).astype(np.uint64) << np.uint64(57)
+        want.update(new.tolist())
+        codes, n = suffix_tree._added(codes, n, [new[:2], new[2:]])
+        assert dict(zip(codes.tolist(), n.tolist(), strict=True)) == want and codes.tolist() == sorted(want)
+    assert (codes.dtype, n.dtype) == (np.uint64, np.uint32)
+
+
+def test_large_rows_come_in_small_batches(spark):
+    """Rows of packed arrays came in batches of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        suffix_tree.small_batches(spark)
+        rows = spark.range(300, numPartitions=1).selectExpr("cast(repeat('x', 100000) as binary) as b")
+        assert max(r["n"] for r in rows.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long").collect()) <= 100
+        spark.conf.set(key, "1000000")
+        suffix_tree.small_batches(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_pair_behind_a_rare_word():
     """A pair whose nearer word isn't listed lies in that word's range and is smoothed towards it; frequent pairs below the share are kept there too."""
     M = suffix_tree
