@@ -472,7 +472,7 @@ def context_codes(symbols: Symbols, bits: int, pairs: bool = False):
                     (codes, sums), n_held = _added(codes, sums, held), 0
                     if len(codes) > HELD_CODES:
                         yield from packed()
-                        codes, sums = codes[:0], sums[:0]
+                        codes, sums = codes[:0].copy(), sums[:0].copy()
         if held:
             codes, sums = _added(codes, sums, held)
         if len(codes):
@@ -777,7 +777,7 @@ def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     mixed = rows.mapInPandas(parts, MIXED).unionByName(tables, allowMissingColumns=True)
     mixed = scratch.write(mixed.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, MIXED), "parts")
     scratch.drop("contexts")
-    shared.unpersist()
+    shared.destroy()  # else it stays in the driver, too, until its garbage is collected
     part = id_again(mixed.where(F.col("kind") == PART), docs)
     gains = mixed.where(F.col("kind") == ANSWER).select("row", "rows", "n").repartition("row").sortWithinPartitions("row").mapInPandas(answers, "row long, s double")
     rest = part.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("k"))
