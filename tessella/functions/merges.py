@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from ..sources.workers import give_back
+
 #: Between words, and a place that a merge took. Ids stay below.
 SEP, HOLE = 0xFFFF, 0xFFFE
 #: Places looked at together when all pairs are counted, and by how much the least total falls from one such count to the next.
@@ -265,6 +267,8 @@ def learner(size: int, peers: Callable[[], Alone | Peers]):
         names = learn(share, size, among)
         if among.size > 1:
             among.close()
+        del share
+        give_back()
         if among.rank == 0:
             yield pd.DataFrame({"rank": np.arange(len(names)), "token": names})
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packing import char_budget
 from ..sources.corpus import exists, read_vocabulary, write_vocabulary
 from ..sources.scratch import Scratch
+from ..sources.workers import small_batches
 from . import merges as M
 
 # Letters with one sign before, digits by one or two, signs with line ends, white space; and the special tokens.
@@ -69,8 +70,12 @@ def train_vocabulary(docs: DataFrame, size: int = 8192, doc_cap: int | None = 10
 
 
 def trained(docs: DataFrame, path: str, **options) -> dict[bytes, int]:
-    """The merge ranks kept at `path` as (token_id, token_bytes, is_special); learned from docs and written there if there are none."""
+    """The merge ranks kept at `path` as (token_id, token_bytes, is_special); learned from docs and written there if there are none.
+
+    Sets the session's Arrow batches to a few MB, for the texts that are encoded with them.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     if not exists(spark, f"{path}/_SUCCESS"):
         write_vocabulary(vocabulary(spark, train_vocabulary(docs, **options)), path)
     rows = read_vocabulary(spark, path).where(~F.col("is_special")).collect()  # a vocabulary is bounded
@@ -96,21 +101,29 @@ def bos_id(ranks: dict[bytes, int]) -> int:
 def encoder(ranks: dict[bytes, int], prepend: int | None = None):
     """A vectorized function from texts to ids, the prefix first; null texts are empty."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         import tiktoken
 
         t = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         head = [] if prepend is None else [prepend]
-        return pd.Series([head + t.encode_ordinary(x or "") for x in texts], dtype=object)
+        ids = [np.array(head + t.encode_ordinary(x.as_py() or ""), np.int32) for x in texts]  # a list for each would hold a pointer and an object for every id
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids or [np.empty(0, np.int32)])))
 
     return encode
 
 
+def decoded(ids: Column, vocab: DataFrame) -> Column:
+    """The text of ids, joined within the row: ids aren't dealt out, and rows of equal keys don't mix."""
+    rows = vocab.where(~F.col("is_special")).select("token_id", F.hex("token_bytes").alias("h")).collect()  # a vocabulary is bounded
+    pieces = [""] * (max((r["token_id"] for r in rows), default=-1) + 1)
+    for r in rows:
+        pieces[r["token_id"]] = r["h"]
+    held = F.split(F.lit(",".join(pieces)), ",")  # a constant, worked out once as the plan is made
+    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(held, i)), "")), "UTF-8")
+
+
 def decode_ids(docs: DataFrame, ids: str, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, text) of the ids of each row: pieces joined in order. Special tokens are left out."""
-    v = F.broadcast(vocab.where(~F.col("is_special")).select("token_id", F.hex("token_bytes").alias("h")))  # a vocabulary is bounded
-    rows = docs.select(key, F.posexplode(ids).alias("pos", "token_id")).join(v, "token_id")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]), "")
-    out = rows.groupBy(key).agg(F.decode(F.unhex(joined), "UTF-8").alias("text"))
-    return docs.select(key).join(out, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    """(key, text) of the ids of each row: pieces joined in order. Special tokens are left out; no ids, or null, are an empty text."""
+    return docs.select(key, F.coalesce(decoded(F.col(ids), vocab), F.lit("")).alias("text"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.corpus import spread
 from ..sources.scratch import Scratch, shared_dir  # noqa: F401  for the operators
+from ..sources.workers import give_back, small_batches  # noqa: F401
 
 #: ASCII white space, the word separator of the word rules.
 SPACES = "\t\n\x0b\x0c\r "
@@ -48,12 +48,3 @@ def id_crc_mod(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null ids count as the text of nothing."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
-
-
-def give_back() -> None:
-    """Returns what a worker's earlier tasks have freed to the system: Spark keeps workers, and the allocators keep their memory."""
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
-        trim(0)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, id_again, id_crc_mod, text_or_empty
+from .common import Scratch, give_back, id_again, id_crc_mod, small_batches, text_or_empty
 
 DEPTH, P_MIN, DIVERGENCE = 12, 5e-5, 8.0
 #: Listed words, prefixes with a symbol of their own, words that are contexts, and such as pairs.
@@ -58,8 +58,6 @@ STEP, HELD_CODES, TOGETHER, ASKED = 250_000, 3_000_000, 32, 400_000
 #: Most frequent words that every worker holds, each of at most HELD_BYTES; other words are joined.
 HELD, HELD_BYTES = 120_000, 48
 FLUSH = 300_000
-#: Bytes of an Arrow batch, about: rows of packed arrays are large, and Spark's 64 MB would lie in the JVM and the worker several times.
-BATCH = 8_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: A code is 52 bits of a context, a bit that marks rare ones, and 11 bits of a symbol. Listed contexts are numbers, spread by an odd factor.
 _SLOTS, _LOW52, _ODD = np.uint64(2**20 - 1), np.uint64(2**52 - 1), 0x9E3779B97F4A7 | 1
@@ -649,14 +647,6 @@ class Upper:
         return p
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most BATCH bytes: the setting is read when a plan runs, and score's runs after it returns."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if now <= 0 or now > BATCH:
-        spark.conf.set(key, str(BATCH))
-
-
 def score(docs: DataFrame, held_mod: int = 5, held_is: int = 1) -> DataFrame:
     """The report's columns for every row of docs (doc_id, text); null texts are empty, an empty text is its end alone.
 

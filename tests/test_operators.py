@@ -135,6 +135,44 @@ def test_vocabulary(spark):
     assert back == {1: "Hello world! Numbers: 123. Unicode: 你好", 2: "", 3: "", 4: "a  b\n\n c"}
 
 
+def test_rows_decode_by_themselves(spark):
+    ranks = {bytes([i]): i for i in range(256)}
+    d = spark.createDataFrame([(1, "one"), (1, "two"), (None, "no key"), (None, None), (2, "")], "id long, text string")
+    ids = d.select("id", K.encoder(ranks, prepend=K.bos_id(ranks))("text").alias("ids"))
+    out = K.decode_ids(ids, "ids", K.vocabulary(spark, ranks), "id")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "one"), (1, "two"), (None, "no key"), (None, ""), (2, "")], key=str)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # an id isn't a row of its own
+
+
+def test_encoding_holds_packed_ids(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    ranks = {bytes([i]): i for i in range(256)} | {f"{a}{b}".encode(): 256 + 8 * i + j for i, a in enumerate("abcdefgh") for j, b in enumerate("abcdefgh")}
+    texts = pa.array(["".join(random.choices("abcdefgh", k=2000)) for _ in range(200)])
+    tracemalloc.start()
+    ids = K.encoder(ranks, prepend=320).func(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    names = {i: b for b, i in ranks.items()} | {320: b""}
+    assert [b"".join(names[i] for i in x).decode() for x in ids.to_pylist()] == texts.to_pylist()
+    assert most < 20 * len(ids.values)  # two packed copies and what a text takes for a while; lists take 36 bytes an id
+
+
+def test_roundtrip_of_odd_documents(spark, tmp_path):
+    import duckdb
+
+    from tessella.plans import queries as Q
+
+    rows = [(1, "one"), (1, "two"), (2, None), (None, "no key"), (3, ""), (4, "\u4f60\u597d \U0001f600 <|reserved_0|>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ours = map(tuple, Q.decode_roundtrip(spark, str(tmp_path)).collect())
+    assert sorted(ours, key=str) == sorted(con.sql(Q.SQL["decode_roundtrip"]).fetchall(), key=str)
+
+
 def test_pretokens_join_to_the_text(spark):
     for text in ("don't stop\n\n now  ", "été 12345 ", "a b 　c", "!!! ...\r\n x"):
         pieces = value(spark, K.pretokens(F.lit(text)))
